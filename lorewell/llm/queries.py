@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import bpe, lookalike, packing, pieces
+from lorewell.llm import bpe, lookalike, packing, pieces, turns
 from lorewell.session import table
 
 
@@ -18,6 +18,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "chunks"), table(spark, d, "size_limits"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.found_turns(table(spark, d, "chunks"), table(spark, d, "speakers"))
+
+
+def p3_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.spoken_turns(table(spark, d, "chunks"), table(spark, d, "speakers"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -35,7 +43,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p6_ids, p7_containers, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_turns, p6_ids, p7_containers, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
