@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import bpe, lookalike, packing, pieces, turns
+from lorewell.llm import bpe, lookalike, mainbody, packing, pieces, turns
 from lorewell.session import table
 
 
@@ -26,6 +26,14 @@ def p3_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.spoken_turns(table(spark, d, "chunks"), table(spark, d, "speakers"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.boilerplate(table(spark, d, "chunks"), table(spark, d, "resources"))
+
+
+def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.main_bodies(table(spark, d, "chunks"), table(spark, d, "resources"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -43,7 +51,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_turns, p6_ids, p7_containers, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_turns, p5_found, p5_bodies, p6_ids, p7_containers, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
