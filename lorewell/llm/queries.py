@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import bpe, lookalike, mainbody, packing, pieces, turns
+from lorewell.llm import bpe, lookalike, mainbody, packing, pieces, scans, turns
 from lorewell.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found_noise(table(spark, d, "chunks"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized(table(spark, d, "chunks"), table(spark, d, "size_limits"))
 
@@ -51,7 +55,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_turns, p5_found, p5_bodies, p6_ids, p7_containers, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_turns, p5_found, p5_bodies, p6_ids, p7_containers, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
