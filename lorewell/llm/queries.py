@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import bpe, lookalike, mainbody, packing, pieces, scans, turns
+from lorewell.llm import bpe, history, lookalike, mainbody, packing, pieces, scans, turns
 from lorewell.session import table
 
 
@@ -30,6 +30,10 @@ def p3_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.spoken_turns(table(spark, d, "chunks"), table(spark, d, "speakers"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeated(table(spark, d, "resources"), table(spark, d, "intake"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return mainbody.boilerplate(table(spark, d, "chunks"), table(spark, d, "resources"))
 
@@ -55,7 +59,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_turns, p5_found, p5_bodies, p6_ids, p7_containers, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p5_found, p5_bodies, p6_ids, p7_containers, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
