@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,19 +16,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's `spark.checkpoint.dir`, or a local one only where that is unset."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's `spark.checkpoint.dir`, or a local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = os.path.join(tempfile.gettempdir(), "lorewell-checkpoints")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    return path or os.path.join(tempfile.gettempdir(), "lorewell-shared")
+
+
+_folders: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is removed when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark).rstrip('/')}/lorewell-{app}-{uuid.uuid4().hex[:8]}"
+
+        def remove(path: str = _folders[app]) -> None:
+            try:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            except Exception:  # the session may be gone already
+                pass
+
+        atexit.register(remove)
+    return _folders[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder once and continue from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Write `df` once as a table in the shared folder and continue from it; partitions are not kept."""
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Write `df` once as a checkpoint in the shared folder and continue from it with the same partitions."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
