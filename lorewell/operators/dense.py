@@ -39,7 +39,7 @@ def top_cosine(vectors: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
 
 def _block(vectors: DataFrame, rows: list, k: int) -> DataFrame:
     ids = np.array([r[0] for r in rows], np.int64)
-    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
     norms = np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else np.ones((0, 1))
     q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
 
