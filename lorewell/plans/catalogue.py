@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 from lorewell.functions import urls as U
-from lorewell.operators import checks, chunking, dense, graph, ledger, registry, retrieval, search, topics, views
+from lorewell.operators import checks, chunking, dense, graph, ledger, notes, registry, retrieval, search, topics, views
 from lorewell.plans import oracles
 from lorewell.session import cut, table
 
@@ -494,6 +494,37 @@ def answer_grades(s, d):
     return retrieval.grade(pack, retrieval.extract_answers(pack, _queries(s, d)))
 
 
+# -- notes ----------------------------------------------------------------------------------------------------------
+@query
+def missing_citations(s, d):
+    return notes.missing_citations(table(s, d, "documents"), table(s, d, "chunks"))
+
+
+@query
+def citation_coverage(s, d):
+    return notes.citation_coverage(table(s, d, "documents"), table(s, d, "chunks"))
+
+
+@query
+def weak_reasons(s, d):
+    return notes.weak_reasons(table(s, d, "documents"))
+
+
+@query
+def concept_index(s, d):
+    return notes.concepts(table(s, d, "documents"))
+
+
+@query
+def flashcards(s, d):
+    return notes.flashcards(table(s, d, "documents"))
+
+
+@query
+def rag_prompts(s, d):
+    return notes.prompts(context_pack_chunks(s, d), _queries(s, d))
+
+
 # -- graph ----------------------------------------------------------------------------------------------------------
 def _graph(s, d):
     r, t = table(s, d, "resources"), _topics(s, d)

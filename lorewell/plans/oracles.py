@@ -5,6 +5,7 @@ from __future__ import annotations
 from lorewell.functions.text import STOPWORDS
 from lorewell.functions.urls import TRACKING
 from lorewell.operators.graph import BEGINNER, DEEP
+from lorewell.operators.notes import SYSTEM
 from lorewell.operators.topics import TOPICS
 
 
@@ -139,6 +140,8 @@ got AS (SELECT g.query_id, g.k, any_value(n_expected) AS n_expected, count(r.ran
   FROM grid g LEFT JOIN r ON r.query_id = g.query_id AND r.rank <= g.k LEFT JOIN ex ON ex.query_id = r.query_id AND ex.resource_id = r.resource_id GROUP BY g.query_id, g.k),
 met AS (SELECT query_id, k, round(matched / n_expected, 6) AS recall, round(CASE WHEN returned > 0 THEN matched / returned ELSE 0 END, 6) AS precision, CASE WHEN matched > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit, round(coalesce(1e0 / first_rank, 0), 6) AS mrr FROM got)"""
 
+CITED = r"cited AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '(?s)```.*?(?:```|$)', '', 'g'), '\[source: ?([^\]]+)\]', 1))) AS chunk_id FROM documents WHERE text IS NOT NULL)"
+
 # -- graph ------------------------------------------------------------------------------------------------------------
 NODE = "'resource:' || replace(id, ':', '_')"
 NODES = f"""nodes AS (SELECT 'topic:' || t AS node_id, 'topic' AS type, t AS label FROM (SELECT unnest({_list(TOPICS)}) AS t) UNION ALL SELECT {NODE}, 'resource', {shown()} FROM resources
@@ -269,4 +272,14 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'error', 'missing_endpoint', count(*) FROM (SELECT source AS node_id FROM edges UNION ALL SELECT target FROM edges) x WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.node_id = x.node_id) UNION ALL SELECT 'error', 'self_edge', count(*) FROM edges WHERE source = target
         UNION ALL SELECT 'warning', 'resource_without_topic', count(*) FROM (SELECT DISTINCT node_id FROM nodes WHERE type = 'resource') y WHERE NOT EXISTS (SELECT 1 FROM edges WHERE type = 'resource_has_topic' AND source = y.node_id)) WHERE n > 0""",
     "graph_neighbourhood": f"{GRAPH} SELECT DISTINCT unnest([source, target]) AS node_id FROM edges WHERE source = 'topic:agents' OR target = 'topic:agents'",
+    "missing_citations": f"WITH {CITED} SELECT doc_id, chunk_id FROM cited c WHERE NOT EXISTS (SELECT 1 FROM chunks k WHERE k.chunk_id = c.chunk_id)",
+    "citation_coverage": f"WITH {CITED} SELECT count(*) AS cited, count(*) FILTER (chunk_id IN (SELECT chunk_id FROM chunks)) AS found FROM cited",
+    "weak_reasons": rf"""SELECT * FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN {words('text')} < 250 THEN 'note is short' END, CASE WHEN len(list_distinct(regexp_extract_all(text, '\[source: ?([^\]]+)\]', 1))) < 3 THEN 'sparse citations' END,
+        CASE WHEN regexp_matches(lower(text), 'requires human review|placeholder content|mock-generated') THEN 'generic phrases' END], lambda x: x IS NOT NULL), ';') AS reasons FROM documents WHERE trim(text) <> '') WHERE reasons <> ''""",
+    "concept_index": rf"""SELECT slug, min(name) AS name, count(DISTINCT doc_id) AS notes FROM (SELECT doc_id, name, {slug('name')} AS slug, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, i, trim(string_split(regexp_replace(line, '^[ \t]*[-*] +', ''), ':')[1]) AS name
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(line, '^[ \t]*[-*] ')) WHERE length(name) BETWEEN 2 AND 60) WHERE n <= 20 AND slug <> '' GROUP BY slug""",
+    "flashcards": f"""SELECT DISTINCT doc_id, q AS question, {trimmed("coalesce(a, '')", 300)} AS answer, CASE WHEN regexp_matches(lower(q), 'compare|why|how would|tradeoff') THEN 'hard' WHEN regexp_matches(lower(q), 'how|which') THEN 'medium' ELSE 'easy' END AS difficulty
+        FROM (SELECT doc_id, unnest(ls) AS q, unnest(list_concat(ls[2:], [NULL])) AS a FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL)) WHERE suffix(q, '?')""",
+    "rag_prompts": f"""{PACK}, bl AS (SELECT query_id, string_agg(citation_label || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM pack GROUP BY query_id)
+        SELECT query_id, '{SYSTEM}' AS system, 'Question: ' || query || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '(none)') AS user FROM qs LEFT JOIN bl USING (query_id)""",
 }
