@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.found_noise(table(spark, d, "chunks"))
 
 
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "chunks"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized(table(spark, d, "chunks"), table(spark, d, "size_limits"))
 
@@ -59,7 +63,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p5_found, p5_bodies, p6_ids, p7_containers, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p5_found, p5_bodies, p6_ids, p7_containers, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.session import cut
+from lorewell.session import cut, small
 
 #: A word is taken for a misreading of another only if that is this many times as frequent ...
 RATIO = 20
@@ -293,8 +293,7 @@ def cut_words(read: DataFrame, words: DataFrame) -> DataFrame:
 
 def suspects(words: DataFrame) -> DataFrame:
     """(word, fixed) of misread and torn words, for a broadcast join if there are few enough."""
-    both = cut(corrections(words).unionByName(torn_words(words)))
-    return F.broadcast(both) if both.count() <= BROADCAST_ROWS else both
+    return small(cut(corrections(words).unionByName(torn_words(words))), BROADCAST_ROWS)
 
 
 def misread(read: DataFrame, wrong: DataFrame) -> DataFrame:
@@ -337,3 +336,106 @@ def found_noise(chunks: DataFrame) -> DataFrame:
     # a header has no other kind
     kinds = every.groupBy("chunk_id", "line_no").agg(F.collect_set("kind").alias("kinds"))
     return kinds.select("chunk_id", "line_no", F.explode(F.when(F.array_contains("kinds", "header"), F.array(F.lit("header"))).otherwise(F.col("kinds"))).alias("kind"))
+
+
+_edge = re.compile(EDGE.replace("\\\"", '"'))
+_stray = re.compile(STRAY)
+_cell = re.compile(r"\S\s{2,}\S")
+
+
+def cased(word: str, like: str) -> str:
+    """A lower-case word in the case of another."""
+    letters = [c for c in like if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return word.upper()
+    return word[:1].upper() + word[1:] if letters[:1] and letters[0].isupper() else word
+
+
+def corrected(line: str, fixes: dict[str, str]) -> str:
+    """A line with its misread and torn words put right and stray marks left out."""
+    line = _stray.sub("", line)
+    if not fixes:
+        return line
+    out: list[str] = []
+    parts = re.split(r"(\s+)", line)
+    i = 0
+    while i < len(parts):
+        p = parts[i]
+        if i + 2 < len(parts) and p.strip():
+            both = p + " " + parts[i + 2]
+            core = _edge.sub("", both)
+            if core.lower() in fixes and " " in core:
+                out.append(both.replace(core, cased(fixes[core.lower()], core)))
+                i += 3
+                continue
+        core = _edge.sub("", p)
+        out.append(p.replace(core, cased(fixes[core.lower()], core)) if core and core.lower() in fixes else p)
+        i += 1
+    return "".join(out)
+
+
+def flowing(lines: list[tuple[int, str]], hyphens: set[int], own: set[int]) -> str:
+    """Numbered lines as paragraphs; a blank line or a table row parts them. Lines of `hyphens` end inside a word, those
+    of `own` with a hyphen that the word has anyway."""
+    out: list[str] = []
+    last = 0
+    for no, text in lines:
+        text = text.rstrip()
+        if not out:
+            out.append(text)
+        elif last in hyphens:
+            out[-1] = out[-1][:-1] + text.lstrip()
+        elif last in own:
+            out[-1] += text.lstrip()
+        elif no != last + 1:
+            out.append(text)
+        elif _cell.search(text.strip()) or _cell.search(out[-1].rsplit("\n", 1)[-1].strip()):
+            out[-1] += "\n" + text
+        else:
+            out[-1] += " " + text.lstrip()
+        last = no
+    return "\n\n".join(out)
+
+
+def repaired(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, text, citation_label) of each PDF chunk: scanned ones as continuous paragraphs, clean ones unchanged.
+
+    A line that ends inside a word is joined with the next body line of its chunk; where that is in the next chunk, the
+    part of the word stays with its mark.
+    """
+    words = cut(lexicon(chunks))
+    read = cut(read_lines(chunks))
+    notes = running_again(read).select("chunk_id", "no", F.lit("header").alias("kind"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("fixed"))
+    notes = notes.unionByName(cut_words(read, words).select("chunk_id", "no", F.lit("hyphen").alias("kind"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("fixed")))
+    notes = notes.unionByName(misread(read, suspects(words)).select("chunk_id", "no", F.lit("glyph").alias("kind"), "word", "fixed"))
+    by_chunk = notes.groupBy("chunk_id").agg(F.collect_set(F.struct("no", "kind", "word", "fixed")).alias("notes"))
+    whole = chunks.filter(F.col("source_type") == "pdf").select("chunk_id", "text", "citation_label").dropDuplicates(["chunk_id"])
+    src = whole.join(read.select("chunk_id", "lines").dropDuplicates(["chunk_id"]), "chunk_id", "left").join(by_chunk, "chunk_id", "left").select("chunk_id", "text", "citation_label", "lines", "notes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for r in b.to_pylist():
+                notes, lines = r["notes"] or [], r["lines"] or []
+                fixes = {n["word"]: n["fixed"] for n in notes if n["word"]}
+                heads = {n["no"] for n in notes if n["kind"] == "header"}
+                hyphens = {n["no"] for n in notes if n["kind"] == "hyphen"}
+                body = [(x["no"], x["text"]) for x in lines if x["kind"] == "body" and x["no"] not in heads]
+                noisy = bool(notes) or len(body) < len(lines)
+                wrapped = any(n == m + 1 and a.rstrip()[-1:] not in (".", "!", "?", ":", "") and z.lstrip()[:1].islower() for (m, a), (n, z) in zip(body, body[1:]))
+                label = r["citation_label"]
+                if r["text"] is not None and (noisy or wrapped):
+                    # numbers close up over lines taken out, so that a paragraph goes on across them
+                    gone = sorted({x["no"] for x in lines} - {n for n, _ in body})
+                    shift = lambda n: n - sum(g < n for g in gone)
+                    kept = {n: shift(n) for n, _ in body}
+                    text = flowing([(kept[n], corrected(x, fixes)) for n, x in body], {kept[n] for n in hyphens if n in kept}, {kept[x["no"]] for x in lines if x["joined"] and x["no"] in kept and x["no"] not in hyphens})
+                    label = corrected(label, fixes) if label is not None else None
+                else:
+                    text = r["text"]
+                out[0].append(r["chunk_id"])
+                out[1].append(text)
+                out[2].append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], ["chunk_id", "text", "citation_label"])
+
+    return src.mapInArrow(run, "chunk_id string, text string, citation_label string")

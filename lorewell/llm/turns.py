@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm.peg import Node, Parser, choice, many, maybe, named, rule, seq, term, unless
-from lorewell.session import cut
+from lorewell.session import pin
 
 KINDS = ["youtube", "local_audio", "local_video", "local_transcript"]
 
@@ -265,7 +265,7 @@ def states_before(rows: list[dict]) -> dict[int, tuple[str, str | None, str | No
 
 def number_turns(parsed: DataFrame, found: bool) -> DataFrame:
     """Numbered turns: with `found` one row where each begins, else one row for each turn and chunk with its words."""
-    ordered = cut(parsed.repartitionByRange("resource_id", "start_time", "chunk_id").sortWithinPartitions("resource_id", "start_time", "chunk_id"))
+    ordered = pin(parsed.repartitionByRange("resource_id", "start_time", "chunk_id").sortWithinPartitions("resource_id", "start_time", "chunk_id"))
     # at most two rows a partition
     before = states_before([r.asDict() for r in ordered.mapInArrow(_summaries, SUMMARY).collect()])
     names = ["resource_id", "turn_no", "speaker", "start_chunk_id"] if found else ["resource_id", "turn_no", "speaker", "chunk_id", "start_time", "end_time", "words"]
