@@ -170,11 +170,16 @@ SEGMENT = "array<struct<who:string,spoken:boolean,start:double,words:string>>"
 
 
 def parsed_chunks(chunks: DataFrame, speakers: DataFrame, words: bool) -> DataFrame:
-    """Each transcript chunk with its segments; without `words` only whether there are any."""
+    """Each transcript chunk with its segments, in order over all partitions; without `words` only whether there are any.
+
+    Chunks are put in order before they are read: the ranges are found by a pass over what is partitioned, which would
+    read them a second time.
+    """
     cast = speakers.filter("full_name IS NOT NULL AND trim(full_name) <> '' AND resource_id IS NOT NULL").groupBy("resource_id").agg(
         F.array_sort(F.collect_set(F.struct("slot", "full_name", "role"))).alias("people"))
     own = chunks.filter(F.col("source_type").isin(KINDS) & F.col("resource_id").isNotNull() & F.col("text").isNotNull()).select("resource_id", "chunk_id", "start_time", "end_time", "text")
-    src = own.join(cast, "resource_id")
+    order = ("resource_id", "start_time", "chunk_id")
+    src = own.join(cast, "resource_id").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,8 +269,8 @@ def states_before(rows: list[dict]) -> dict[int, tuple[str, str | None, str | No
 
 
 def number_turns(parsed: DataFrame, found: bool) -> DataFrame:
-    """Numbered turns: with `found` one row where each begins, else one row for each turn and chunk with its words."""
-    ordered = pin(parsed.repartitionByRange("resource_id", "start_time", "chunk_id").sortWithinPartitions("resource_id", "start_time", "chunk_id"))
+    """Numbered turns of ordered chunks: with `found` one row where each begins, else one row for each turn and chunk with its words."""
+    ordered = pin(parsed)
     # at most two rows a partition
     before = states_before([r.asDict() for r in ordered.mapInArrow(_summaries, SUMMARY).collect()])
     names = ["resource_id", "turn_no", "speaker", "start_chunk_id"] if found else ["resource_id", "turn_no", "speaker", "chunk_id", "start_time", "end_time", "words"]
