@@ -2,11 +2,12 @@
 
 The lines of a chunk form a tree: page, blocks (runs of lines of one kind between blank lines), lines. A line gives its
 block points for length, commas and sentence ends, discounted by its link density, the share of it that is link text;
-blocks pass their points on to the page at half. The best block is the heart of the body. Its siblings are kept unless
-they are mostly links, so that headings and lists, which have few points of their own, stay with the text.
+the best block is the heart of the body. Siblings that are mostly links are dropped. Of the others those are kept that
+have SIBLING of the best block's points, or text without any links, however short; lists; and up to HEADINGS labels
+directly before a block that is kept. More labels without text or list are a menu, whatever their words.
 
 Text has lost the markup of its links, so link text is told from the separators and the words of menus, notices, teasers
-and footers. A word of a menu is a heading where a paragraph or list of the body follows it directly.
+and footers; sentences of a sidebar or a notice in other words are like sentences of the body and stay. A word of a menu is a heading where a paragraph or list of the body follows it directly.
 
 Defined results: null texts have no lines; a chunk stored twice counts once; a page whose URL is unknown is read without
 its site's name; blank lines are never boilerplate; a chunk without any body line has an empty body; lines are those
@@ -73,6 +74,9 @@ NOTICE = re.compile(r"""(?ix)
 #: A sentence of a notice has no more of a page's own words than this.
 NOTICE_LENGTH = 220
 
+#: Share of the best block's points that a sibling with some links must have, labels that can be headings, parts of a line that make it a menu and words of a part.
+SIBLING, HEADINGS, MENU_PARTS, PART_WORDS = 0.2, 2, 4, 3
+
 OWNER = re.compile(r"(?i)^(?:is run by|ist ein angebot|est édité par|es un proyecto|is published by)\b|^(?:studio|collective|guild|press|cooperative|foundation|society|archive|labs?|media|group|team|gmbh|inc\.?|ltd\.?)?\s*(?:\(\d{4}\)|,? \d{4})?\.?$")
 SEPARATORS = re.compile(r"\s+[|/·•»>›–]\s+|\s{2,}|\t+")
 BULLET = re.compile(r"^\s*[*•\-–‣◦]\s+\S")
@@ -93,6 +97,8 @@ def link_density(line: str, site: str) -> float:
     parts = [p.strip(" |/·•>›») ") for p in SEPARATORS.split(s)]
     parts = [p for p in parts if p]
     if len(parts) > 1:
+        if len(parts) >= MENU_PARTS and re.search(r"\s[|·•]\s", s) and not SENTENCE_END.search(s) and all(len(p.split()) <= PART_WORDS for p in parts):
+            return 1.0
         words = sum(len(p) for p in parts if p.lower() in LINK_WORDS)
         if re.search(r"\s[>›»]\s", s) and parts[0].lower() in LINK_WORDS and len(s) < 120:
             return 1.0
@@ -130,9 +136,11 @@ class Block:
         self.lines: list[int] = []
         self.teaser = teaser
         self.score = self.chars = self.links = 0.0
+        self.labels = True
 
-    def add(self, i: int, line: str, density: float, text: bool) -> None:
+    def add(self, i: int, line: str, density: float, text: bool, label: bool) -> None:
         self.lines.append(i)
+        self.labels = self.labels and label
         n = len(line.strip())
         self.chars += n
         self.links += n * density
@@ -171,7 +179,7 @@ def blocks_of(lines: list[str], site: str, opened: bool = False) -> list[Block]:
             if now is None or not now.teaser:
                 now = Block()
                 out.append(now)
-        now.add(i, line, d, kind == "text")
+        now.add(i, line, d, kind == "text", kind == "label")
     return [b for b in out if b.lines]
 
 
@@ -183,14 +191,20 @@ def body_lines(text: str, site: str = "", opened: bool = False) -> list[bool]:
     if not blocks:
         return keep
     best = max(blocks, key=lambda b: b.score)
-    page = sum(b.score for b in blocks) / 2
-    for b in blocks:
-        # siblings of the best block stay with it unless they are mostly links; without any text, lists and headings do
-        sibling = b.density < 0.5 if page > 0 or best.score == 0 else False
-        if b is best and b.density < 0.5 or sibling:
-            continue
-        for i in b.lines:
-            keep[i] = False
+    below = False  # whether the block below is kept
+    for b in reversed(blocks):
+        if b.density >= 0.5:
+            stays = False
+        elif b is best or best.score == 0:
+            stays = True
+        elif b.score > 0:
+            stays = b.links == 0 or b.score >= SIBLING * best.score
+        else:
+            stays = not b.labels or (below and len(b.lines) <= HEADINGS)
+        below = stays
+        if not stays:
+            for i in b.lines:
+                keep[i] = False
     return keep
 
 

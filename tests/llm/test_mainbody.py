@@ -45,3 +45,12 @@ def test_rows(spark):
     bodies = {r.chunk_id: r.text for r in mainbody.main_bodies(chunks, res).collect()}
     assert set(bodies) == {"c1", "c2", "c5"} and bodies["c2"] == "" and bodies["c1"].startswith("On tokens")
     assert mainbody.boilerplate(chunks.limit(0), res).count() == 0 and mainbody.boilerplate(chunks, res.limit(0)).count() > 0
+
+
+def test_score_decides():
+    body = "A good index keeps tokens, and a better one keeps their places. It took two passes, and then one more, to build the whole of it."
+    page = ["Gallery | Partners | Workshops | Residencies", "", "Ateliers", "Residencies", "Fellows", "", "On tokens", "", body, "", "Short, but body.", "", "* exact terms", "* near terms", "", "A line with Docs | Guides | Pricing | a way out.", "", "Ateliers", "Residencies", "Fellows"]
+    dropped = [i for i, k in enumerate(mainbody.body_lines("\n".join(page))) if not k]
+    assert dropped == [0, 2, 3, 4, 17, 18, 19]
+    weak = mainbody.body_lines("\n".join([body * 4, "", "Of all docs | guides | pricing | a few more are there."]))
+    assert weak == [True, True, False]
