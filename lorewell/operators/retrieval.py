@@ -76,11 +76,11 @@ def mean_metrics(each: DataFrame) -> DataFrame:
     return each.groupBy("k").agg(F.count("*").alias("cases"), *(F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "hit", "mrr")))
 
 
-def context_pack(ranked: DataFrame, docs: DataFrame, max_chars: int) -> DataFrame:
-    """(query_id, rank, citation_label, chunk_id, resource_id, text, truncated): each chunk once, its text cut at a space."""
+def context_pack(ranked: DataFrame, docs: DataFrame, max_chars: int = 0) -> DataFrame:
+    """(query_id, rank, citation_label, chunk_id, resource_id, text, truncated): each chunk once, with its whole text, or cut at a space to at most `max_chars` if that is positive."""
     text = docs.select("chunk_id", "resource_id", F.coalesce("text", F.lit("")).alias("full"))
     rows = ranked.select("query_id", "rank", "chunk_id").join(text, "chunk_id")
-    return rows.select("query_id", "rank", F.concat(F.lit("[cite:"), F.col("rank"), F.lit("]")).alias("citation_label"), "chunk_id", "resource_id", T.trim_text(F.col("full"), max_chars).alias("text"), (F.length("full") > max_chars).alias("truncated"))
+    return rows.select("query_id", "rank", F.concat(F.lit("[cite:"), F.col("rank"), F.lit("]")).alias("citation_label"), "chunk_id", "resource_id", T.trim_text(F.col("full"), max_chars).alias("text"), (F.length("full") > max_chars if max_chars > 0 else F.lit(False)).alias("truncated"))
 
 
 def pack_sources(pack: DataFrame) -> DataFrame:

@@ -474,8 +474,8 @@ def retrieval_eval_aggregate(s, d):
 @query
 def context_pack_chunks(s, d):
     docs = cut(_docs(s, d))
-    ranked = search.top(search.bm25_scores(docs, _queries(s, d)), 5, "chunk_id")
-    return retrieval.context_pack(ranked, docs, 600)
+    ranked = search.top(search.bm25_scores(docs, _queries(s, d)), 10, "chunk_id")
+    return retrieval.context_pack(ranked, docs)
 
 
 @query

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lorewell.operators import chunking, dense, graph, ledger, registry, retrieval, search, topics
+from lorewell.plans import catalogue
 
 
 def test_latest_and_first(spark):
@@ -121,3 +122,22 @@ def test_stale_reasons(spark):
     r = spark.createDataFrame([("failed_retryable", None, "v1", "mock", "m"), ("processed", "p", "v5", "Cloud-B", "wide-2")], "status string, generated_note_path string, prompt_version string, llm_provider string, llm_model string")
     got = [x.r for x in r.select(registry.stale_reasons("cloud_b", "wide-2", "v5").alias("r")).collect()]
     assert got[0] == ["failed_retryable", "missing_note_path", "prompt_version:v1", "provider_mismatch:mock→real"] and got[1] == []
+
+
+def test_context_pack_holds_whole_texts(spark):
+    long = "Nothing here. " * 60 + "The cache is warm."
+    docs = spark.createDataFrame([("c1", "r1", long)], "chunk_id string, resource_id string, text string")
+    ranked = spark.createDataFrame([(1, 1, "c1")], "query_id long, rank int, chunk_id string")
+    asked = spark.createDataFrame([(1, "cache")], "query_id long, query string")
+    whole, part = retrieval.context_pack(ranked, docs, 0), retrieval.context_pack(ranked, docs, 600)
+    assert [(r.text, r.truncated) for r in whole.collect()] == [(long, False)]
+    assert [(len(r.text) <= 600, r.truncated) for r in part.collect()] == [(True, True)]
+    assert [r.answer for r in retrieval.extract_answers(whole, asked).collect()] == ["The cache is warm. [cite:1]"]
+    assert [r.answer for r in retrieval.extract_answers(part, asked).collect()] == [""]
+
+
+def test_pack_query_cuts_no_text(spark, sf):
+    pack = catalogue.context_pack_chunks(spark, sf)
+    full = spark.read.parquet(f"{sf}/chunks.parquet").selectExpr("chunk_id", "coalesce(text, '') AS full").distinct()
+    assert pack.join(full, "chunk_id", "left_anti").count() == 0 and pack.join(full, "chunk_id").filter("text = full").select("query_id", "rank").distinct().count() == pack.count()
+    assert pack.filter("truncated").count() == 0 and pack.selectExpr("max(rank)").first()[0] == 10
