@@ -9,6 +9,8 @@ from lorewell.functions import text as T
 
 CITATION = r"\[source: ?([^\]]+)\]"
 FENCE = r"(?s)```.*?(?:```|$)"
+# Concepts that count wherever a note names them.
+KEYWORDS = ["Embeddings", "RAG", "Chunking", "Tokenization", "Vector Database", "LLM", "Transformer", "Attention", "Inference", "Fine-tuning", "Prompt Engineering", "Cosine Similarity", "Retrieval", "Context Window"]
 
 
 def citations(notes: DataFrame) -> DataFrame:
@@ -36,10 +38,15 @@ def weak_reasons(notes: DataFrame) -> DataFrame:
 
 
 def concepts(notes: DataFrame, most: int = 20) -> DataFrame:
-    """(slug, name, notes): bullets of two to sixty characters before a colon, at most `most` of a note, merged by slug."""
-    line = notes.filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"^[ \t]*[-*] "))
-    named = line.select("doc_id", "pos", F.trim(F.substring_index(F.regexp_replace("line", r"^[ \t]*[-*] +", ""), ":", 1)).alias("name")).filter("length(name) BETWEEN 2 AND 60")
-    first = named.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).filter(F.col("n") <= most)
+    """(slug, name, notes): bullets of two to sixty characters before a colon, then KEYWORDS that a note holds anywhere, merged by slug.
+
+    A name that a note repeats, in whatever case, counts once; `most` is of different names.
+    """
+    bullets = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^[ \t]*[-*] ")), lambda x: F.trim(F.substring_index(F.regexp_replace(x, r"^[ \t]*[-*] +", ""), ":", 1)))
+    held = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.lower("text"), F.lower(k)))
+    names = notes.filter("text IS NOT NULL").select("doc_id", F.posexplode(F.concat(F.filter(bullets, lambda x: F.length(x).between(2, 60)), held)).alias("pos", "name"))
+    once = names.groupBy("doc_id", F.lower("name").alias("low")).agg(F.min(F.struct("pos", "name")).alias("first")).select("doc_id", "first.pos", "first.name")
+    first = once.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).filter(F.col("n") <= most)
     keyed = first.withColumn("slug", T.slug(F.col("name"))).filter("slug <> ''")
     return keyed.groupBy("slug").agg(F.min("name").alias("name"), F.count_distinct("doc_id").alias("notes"))
 

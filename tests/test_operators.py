@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lorewell.operators import chunking, dense, graph, ledger, registry, retrieval, search, topics
+from lorewell.operators import chunking, dense, graph, ledger, notes, registry, retrieval, search, topics
 from lorewell.plans import catalogue
 
 
@@ -141,3 +141,11 @@ def test_pack_query_cuts_no_text(spark, sf):
     full = spark.read.parquet(f"{sf}/chunks.parquet").selectExpr("chunk_id", "coalesce(text, '') AS full").distinct()
     assert pack.join(full, "chunk_id", "left_anti").count() == 0 and pack.join(full, "chunk_id").filter("text = full").select("query_id", "rank").distinct().count() == pack.count()
     assert pack.filter("truncated").count() == 0 and pack.selectExpr("max(rank)").first()[0] == 10
+
+
+def test_concepts_of_prose_and_repeated_bullets(spark):
+    said = "\n".join(["- Alpha: one", "* ALPHA: two"] * 15 + ["- Beta: three"])
+    rows = spark.createDataFrame([(1, said), (2, "We speak of embeddings and fine-tuning."), (3, "\n".join(f"- name {i}" for i in range(25)) + "\nAn LLM."), (4, None)], "doc_id long, text string")
+    got = {r.slug: (r.name, r.notes) for r in notes.concepts(rows).collect()}
+    assert {k: v for k, v in got.items() if not k.startswith("name-")} == {"alpha": ("Alpha", 1), "beta": ("Beta", 1), "embeddings": ("Embeddings", 1), "fine-tuning": ("Fine-tuning", 1)}
+    assert sum(k.startswith("name-") for k in got) == 20
