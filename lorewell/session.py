@@ -17,15 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's `spark.checkpoint.dir`, or a local one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: the session's `spark.checkpoint.dir`.
+
+    Only where the master is local, so that executors and driver are one process, may it be unset; elsewhere a folder of
+    one machine would lose rows, and this raises.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not path and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return path or os.path.join(tempfile.gettempdir(), "lorewell-shared")
 
 
 _folders: dict[str, str] = {}
 
 
-def _own_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """This application's folder in the shared one; it is removed when the application ends."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
@@ -43,10 +50,13 @@ def _own_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` once as a table in the shared folder and continue from it; partitions are not kept."""
-    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Write `df` once as a table in the shared folder and continue from it; partitions are not kept.
+
+    The schema is read back from the files, so that a folder that the driver can't see raises.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def pin(df: DataFrame) -> DataFrame:
