@@ -25,31 +25,55 @@ from lorewell.llm.bpe import _slices, default_vocabulary, encoder
 from lorewell.session import cut
 
 
-def fill_gap(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-    """Up to three available sizes that add up to `gap`, the largest first; None if there are none."""
-    if free[gap] > 0:
-        return (gap,)
-
-    def pair(total: int, most: int, used: int = 0) -> tuple[int, int] | None:
+class Sums:
+    """The sizes still available, indexed by their single, pair and triple sums.
+
+    The index of pair sums is the convolution of the available sizes with themselves. Sizes only run out, so a sum that
+    is not in the index never comes; one that is in it is checked against the counts, and the index is made again when
+    it named sums that are gone.
+    """
+
+    def __init__(self, free: np.ndarray):
+        self.free = free
+        self.index()
+
+    def index(self) -> None:
+        has = (self.free > 0).astype(np.float64)
+        has[0] = 0
+        n = len(has)
+        width = 1 << (2 * n - 1).bit_length()
+        self.pairs = np.fft.irfft(np.fft.rfft(has, width) ** 2, width)[:n] > 0.5
+        self.stale = 0
+
+    def pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """Two available sizes, none above `most`, that add up to `total`; the largest first."""
+        if total < 2 or not self.pairs[total]:
+            return None
         a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
-        if not len(a):
+        ok = (self.free[a] > 0) & (self.free[total - a] > (a * 2 == total))
+        k = int(np.argmax(ok)) if len(ok) and ok.any() else -1
+        if k < 0:
+            self.stale += most >= total - 1
             return None
-        left = free.copy() if used else free
-        if used:
-            left[used] -= 1
-        ok = (left[a] > 0) & (left[total - a] > (a * 2 == total))
-        k = int(np.argmax(ok)) if ok.any() else -1
-        return (int(a[k]), int(total - a[k])) if k >= 0 else None
-
-    if two := pair(gap, gap - 1):
-        return two
-    sizes = np.flatnonzero(free[: max(0, gap - 1)] > 0)
-    for a in sizes[::-1]:
-        if a * 3 < gap:
-            break
-        if two := pair(gap - int(a), int(a), used=int(a)):
-            return (int(a), *two)
-    return None
+        return int(a[k]), int(total - a[k])
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """Up to three available sizes that add up to `gap`, the largest first; None if there are none."""
+        if self.free[gap] > 0:
+            return (gap,)
+        if self.stale > 64:
+            self.index()
+        if two := self.pair(gap, gap - 1):
+            return two
+        sizes = np.flatnonzero(self.free[: max(1, gap - 1)] > 0)
+        sizes = sizes[(sizes * 3 >= gap) & (sizes > 0)]
+        for a in sizes[self.pairs[gap - sizes]][::-1]:
+            self.free[a] -= 1
+            two = self.pair(gap - int(a), int(a))
+            self.free[a] += 1
+            if two:
+                return (int(a), *two)
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -57,7 +81,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     free = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         free[size] = n
-    out = []
+    out, sums = [], Sums(free)
     while True:
         left = np.flatnonzero(free[1:] > 0)
         if not len(left):
@@ -66,7 +90,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
         pattern, gap = {first: 1}, capacity - first
         free[first] -= 1
         while gap:
-            more = fill_gap(gap, free)
+            more = sums.exact(gap)
             if more is None:
                 fits = np.flatnonzero(free[1: gap + 1] > 0)
                 if not len(fits):
@@ -140,15 +164,21 @@ def pack_documents(docs: DataFrame, capacity: int, vocabulary: str | None = None
     before = by_part.select("n_tokens", "part", F.coalesce(F.sum("n").over(ranked), F.lit(0)).alias("before"))
     numbered = items.join(before, ["n_tokens", "part"]).select("doc_id", "piece_no", "start_token", "n_tokens", (F.col("nth") + F.col("before")).alias("nth"))
 
+    # items of smaller sizes come first, so that an item's number over all sizes stays a 64-bit number at any capacity
+    offset = np.zeros(capacity + 2, np.int64)
+    for size, n in counts.items():
+        offset[size + 1] = n
+    offset = np.cumsum(offset)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = table[:, 0] * (1 << 48) + table[:, 1]
+        code = offset[table[:, 0]] + table[:, 1]
         for b in batches:
             size = b.column(3).to_numpy(zero_copy_only=False)
             nth = b.column(4).to_numpy(zero_copy_only=False)
             where = np.zeros(len(size), np.int64)
             full = size > 0
             if full.any():
-                at = np.searchsorted(code, size[full] * (1 << 48) + nth[full], side="right") - 1
+                at = np.searchsorted(code, offset[size[full]] + nth[full], side="right") - 1
                 where[full] = table[at, 2] + (nth[full] - table[at, 1]) // table[at, 3]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(where)], ["doc_id", "piece_no", "start_token", "n_tokens", "container_id"])
 

@@ -68,3 +68,36 @@ def test_documents(spark):
         assert len(parts) == 1 or all(p.n_tokens == 10 for p in parts[:-1])
     assert set(load) == set(range(len(load)))
     assert packing.pack_documents(docs.limit(0), 10).count() == 0
+
+
+def test_great_capacity():
+    rng = random.Random(5)
+    capacity = 131_072
+    counts = {}
+    for _ in range(3000):
+        s = rng.randrange(1, capacity + 1)
+        counts[s] = counts.get(s, 0) + 1
+    check(counts, capacity)
+
+
+def test_containers_of_great_capacity(spark):
+    rng = random.Random(6)
+    capacity, sizes = 65_536, [rng.randrange(1, 65_537) for _ in range(800)]
+    counts = {}
+    for s in sizes:
+        counts[s] = counts.get(s, 0) + 1
+    table = packing.places(packing.plan(dict(counts), capacity))
+    docs = spark.createDataFrame([(i, " a" * (s // 40)) for i, s in enumerate(sizes)], "doc_id bigint, text string")
+    got = packing.pack_documents(docs, capacity).groupBy("container_id").agg({"n_tokens": "sum"}).collect()
+    assert len(table) and all(r["sum(n_tokens)"] <= capacity for r in got)
+
+
+def test_placing_at_great_sizes(spark, monkeypatch):
+    """Sizes beyond 32,768 stay in their containers."""
+    rng = random.Random(7)
+    sizes = [rng.randrange(30_000, 65_537) for _ in range(500)]
+    capacity = 65_536
+    rows = spark.createDataFrame([(i, 0, 0, s, 0, sum(x == s for x in sizes[:i])) for i, s in enumerate(sizes)], "doc_id bigint, piece_no int, start_token bigint, n_tokens bigint, part int, nth bigint")
+    monkeypatch.setattr(packing, "items_of", lambda *a: rows)
+    got = packing.pack_documents(rows, capacity).groupBy("container_id").agg({"n_tokens": "sum"}).collect()
+    assert sum(r["sum(n_tokens)"] for r in got) == sum(sizes) and max(r["sum(n_tokens)"] for r in got) <= capacity
