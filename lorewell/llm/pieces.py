@@ -4,7 +4,7 @@ Balanced targets: the least number of pieces that can hold a text is computed, e
 target moves to the strongest boundary near it, and a piece more is taken as soon as one of them is above the limit.
 
 Defined results: texts within the limit, null texts and types without a limit give no pieces; a chunk stored twice is
-cut once; an overlap of half the limit or more is taken as just under half; a cut never parts a base character from its
+cut once; an overlap of half the limit or more is taken as just under half; neither a cut nor the start of a piece parts a base character from its
 marks, joiners or a CR from its LF unless one such cluster alone is above the limit. Extra columns are dropped.
 """
 
@@ -29,6 +29,9 @@ BOUNDARIES = [re.compile(p) for p in (
     r"\s+",
 )]
 
+#: Characters that a piece may repeat beyond the overlap, to begin with a whole word.
+WORD = 40
+
 
 def _inside(text: str, at: int) -> bool:
     """Whether a cut before `at` would part a cluster."""
@@ -40,8 +43,11 @@ def _inside(text: str, at: int) -> bool:
 
 def _snap(text: str, target: int, low: int, high: int) -> int:
     """The strongest boundary in [low, high], of several the nearest to `target`; else `target`, moved out of clusters."""
+    begin = max(0, low - 80)
+    while begin > 0 and text[begin - 1].isspace():  # a run of blanks is seen from its beginning
+        begin -= 1
     for kind in BOUNDARIES:
-        ends = [m.end() for m in kind.finditer(text, max(0, low - 80), min(len(text), high + 80)) if low <= m.end() <= high and not _inside(text, m.end())]
+        ends = [m.end() for m in kind.finditer(text, begin, min(len(text), high + 80)) if low <= m.end() <= high and not _inside(text, m.end())]
         if ends:
             return min(ends, key=lambda e: (abs(e - target), e))
     for at in range(target, low - 1, -1):
@@ -81,14 +87,25 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, repeated) of each piece in order; `repeated` characters stand at the end of the piece before."""
+    """(start, end, repeated) of each piece in order; `repeated` characters stand at the end of the piece before.
+
+    A piece repeats what is asked, and where the limit has room for it what is before that up to the beginning of its
+    word, at most WORD characters; where it hasn't, it repeats less by what is left of a cluster.
+    """
     ends = cut_points(text, limit, overlap)
     overlap = max(0, min(overlap, (limit - 1) // 2))
-    out, last = [], 0
+    out, last, before = [], 0, 0
     for end in ends:
-        again = min(overlap, last)
-        out.append((last - again, end, again))
-        last = end
+        start = last - min(overlap, last)
+        if overlap and start:
+            # the start must stay behind the start of the piece before, and the piece within the limit
+            least = max(before + 1, end - limit, start - WORD)
+            back = next((at for at in range(start, least - 1, -1) if (text[at - 1].isspace() and not text[at].isspace()) and not _inside(text, at)), None)
+            if back is None:
+                back = next((at for at in range(start, least - 1, -1) if not _inside(text, at)), None)
+            start = back if back is not None else next((at for at in range(start, last) if not _inside(text, at)), last)
+        out.append((start, end, last - start))
+        last, before = end, start
     return out
 
 
