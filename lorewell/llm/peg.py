@@ -96,13 +96,37 @@ def named(kind: str, part: Parser, value: Callable[[str], Any] | None = None) ->
     return run
 
 
-def rule(make: Callable[[], Parser]) -> Parser:
-    """A rule that may refer to itself."""
-    held: list[Parser] = []
+def nested(pairs: dict[str, str], leaf: Parser, plain: Parser) -> Parser:
+    """Brackets within brackets to any depth, with leaves and plain text between: open (nested / leaf / plain)* close.
+
+    The rule that refers to itself is run on a stack of its own. Where it fails, every bracket that was open then fails
+    too; these positions are kept for the text, so that none is read again.
+    """
+    held: list = ["", set()]
 
     def run(s: str, i: int) -> Result:
-        if not held:
-            held.append(make())
-        return held[0](s, i)
+        if i >= len(s) or s[i] not in pairs:
+            return leaf(s, i)
+        if held[0] is not s:
+            held[:] = [s, set()]
+        failed: set[int] = held[1]
+        open_: list[int] = []
+        at = i
+        while at < len(s):
+            c = s[at]
+            if c in pairs and at not in failed:
+                open_.append(at)
+                at += 1
+            elif open_ and c == pairs[s[open_[-1]]]:
+                open_.pop()
+                at += 1
+                if not open_:
+                    return at, []
+            elif open_ and (r := leaf(s, at) or plain(s, at)) is not None and r[0] > at:
+                at = r[0]
+            else:
+                break
+        failed.update(open_)
+        return None
 
     return run

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.peg import Node, Parser, choice, many, maybe, named, rule, seq, term, unless
-from lorewell.session import pin
+from lorewell.llm.peg import Node, Parser, choice, many, maybe, named, nested, seq, term, unless
+from lorewell.session import pin, small
 
 KINDS = ["youtube", "local_audio", "local_video", "local_transcript"]
 
@@ -97,10 +97,8 @@ def grammar(cast: Cast) -> Parser:
     # a name is tried with three, two and one words, so that the last words of an unpointed sentence don't join it
     name = choice(*(term(rf"(?:[^\W\d_][\w.’'-]*[ ]+){{{k}}}[^\W_][\w.’'-]*(?=[ ]?:(?!\d))") for k in (2, 1, 0)))
     label = seq(maybe(term(r"(?:>>|[-–—•])[ ]*")), maybe(term(r"\*{1,2}|_{1,2}")), named("label", name, lambda t: cast.who(t)), term(r"[ ]?:"), maybe(term(r"\*{1,2}|_{1,2}")))
-    inner = rule(lambda: many(choice(note_body, term(r"[^\[\](){}<>♪*\n]+"))))
-    note_body = choice(
-        seq(term(r"\["), inner, term(r"\]")), seq(term(r"\("), inner, term(r"\)")), seq(term(r"\{"), inner, term(r"\}")),
-        term(r"<(?!v\s)[A-Za-z][^<>\n]{0,60}>"), term(r"\*[A-Za-z][^*\n:]{0,60}\*(?!\*)"), term(r"♪[^♪\n]*♪|[♪♫]+"))
+    leaf = choice(term(r"<(?!v\s)[A-Za-z][^<>\n]{0,60}>"), term(r"\*[A-Za-z][^*\n:]{0,60}\*(?!\*)"), term(r"♪[^♪\n]*♪|[♪♫]+"))
+    note_body = nested({"[": "]", "(": ")", "{": "}"}, leaf, term(r"[^\[\](){}<>♪*\n]+"))
     spoken = named("text", term(SPOKEN))
     note = named("note", note_body)
     run = named("text", term(r"[^\W\d_][\w'’-]*[^\w\[({<♪*>:\-–—•]*|[\w'’-]+[^\w\[({<♪*>:\-–—•]*|[^\w\[({<♪*>\-–—•]+|."))
@@ -179,7 +177,7 @@ def parsed_chunks(chunks: DataFrame, speakers: DataFrame, words: bool) -> DataFr
         F.array_sort(F.collect_set(F.struct("slot", "full_name", "role"))).alias("people"))
     own = chunks.filter(F.col("source_type").isin(KINDS) & F.col("resource_id").isNotNull() & F.col("text").isNotNull()).select("resource_id", "chunk_id", "start_time", "end_time", "text")
     order = ("resource_id", "start_time", "chunk_id")
-    src = own.join(cast, "resource_id").repartitionByRange(*order).sortWithinPartitions(*order)
+    src = own.join(small(cast), "resource_id").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,20 +281,22 @@ def number_turns(parsed: DataFrame, found: bool) -> DataFrame:
         for r in _rows(batches):
             if r["resource_id"] != resource:
                 resource, state = r["resource_id"], State()
+            ends = [r["end_time"] if r["end_time"] is not None and (r["start_time"] is None or r["end_time"] >= r["start_time"]) else None]
+            for s in reversed(r["segs"]):  # of each segment, the start of the next that has one
+                ends.append(s["start"] if s["start"] is not None else ends[-1])
             for k, s in enumerate(r["segs"]):
                 begins = state.step(s["who"], s["spoken"])
                 if found:
                     if begins:
                         out.append((resource, state.count, state.turn, r["chunk_id"]))
                 elif s["spoken"] and state.label is not None:
-                    later = [x["start"] for x in r["segs"][k + 1:] if x["start"] is not None]
-                    end = later[0] if later else r["end_time"] if r["end_time"] is not None and (r["start_time"] is None or r["end_time"] >= r["start_time"]) else None
+                    end = ends[len(r["segs"]) - 1 - k]
                     start = s["start"] if s["start"] is not None else r["start_time"]
                     if out and out[-1][:4] == (resource, state.count, state.turn, r["chunk_id"]):
                         out[-1] = (*out[-1][:5], end, out[-1][6] + " " + s["words"])
                     else:
                         out.append((resource, state.count, state.turn, r["chunk_id"], start, end, s["words"]))
-            if len(out) >= 5000 and found:
+            if len(out) >= 5000:  # chunks end here, so that no row goes on
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
                 out = []
         if out:

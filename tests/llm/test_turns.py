@@ -67,3 +67,16 @@ def test_long_transcript_over_many_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == sorted(expect)
+
+
+def test_deep_and_unclosed_brackets():
+    import time
+
+    people = ((1, "Ann Bell", None), (2, "Cal Dorn", None))
+    known, parse = turns.reader(people)
+    deep = "Ann: one " + "[" * 1000 + "noise" + "]" * 1000 + " two. Cal: three."
+    assert [(w, s) for w, s, _ in turns.segments(deep, known, parse)][1:] == [("Ann Bell", "one two."), ("Cal Dorn", "three.")]
+    began = time.thread_time()
+    got = turns.segments("Ann: start " + "(a " * 5000 + "end", known, parse)
+    assert got[1][0] == "Ann Bell" and got[1][1].endswith("end") and time.thread_time() - began < 5
+    assert [s for _, s, _ in turns.segments("Ann: x [music (loud)] y [a (b] z", known, parse)][1].startswith("x y")
