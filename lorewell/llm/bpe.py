@@ -2,7 +2,8 @@
 
 Each Arrow batch is split into words by an embedded DuckDB query; words not met before by this Python worker are encoded
 together by one recursive DuckDB query in which token-position rows join the merge table and every word contracts its
-minimum-rank pair from the left until no pair is in the table. Documents are then gathered from the encoded words.
+minimum-rank pair from the left until no pair is in the table. Documents are then gathered from the encoded words. An
+ordered aggregation over the tokens decodes.
 
 Defined results: a null or empty text has an empty id list; special-token strings are ordinary text; order of rows is
 not kept; further columns are dropped; repeated rows are encoded alike.
@@ -45,23 +46,37 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+#: Each step contracts in every word all pairs that no pair of less rank can reach before: a token that grows out of pairs
+#: of less rank until it takes in one of the pair's own tokens would be longer than the longest token there is (`radius`
+#: bytes), unless one of these pairs is nearer than that. Of a run of equal pairs that overlap, every other one is taken
+#: from the left. So the leftmost pair of least rank is contracted again and again, many places at once. Only the last
+#: state of a word is kept: a position that was taken into the one before it has no token any more.
 RECURSION = """
-WITH RECURSIVE tokens(step, word, pos, tok) AS (
-    SELECT 0, word, pos, tok FROM start_rows
-    UNION ALL
-    (WITH linked AS MATERIALIZED (
-        SELECT *, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
-        FROM tokens WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), best AS (
-        SELECT p.word, min({'rank': m.rank, 'pos': p.pos, 'next_pos': p.next_pos, 'made': m.made}) AS b
-        FROM linked p JOIN merges m ON m.lhs = p.tok AND m.rhs = p.next_tok GROUP BY p.word
+WITH RECURSIVE tokens(word, pos, tok, radius, live) USING KEY (word, pos) AS (
+    SELECT word, pos, tok, radius, true FROM start_rows
+    UNION
+    (WITH now AS MATERIALIZED (
+        SELECT word, pos, tok, radius, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
+        FROM recurring.tokens WHERE tok IS NOT NULL AND word IN (SELECT word FROM tokens WHERE live)
+        WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), ranked AS MATERIALIZED (
+        SELECT p.word, p.pos, p.next_pos, p.radius, p.tok = p.next_tok AS twin, m.rank, m.made,
+            m.rank = min(m.rank) OVER (PARTITION BY p.word ORDER BY p.pos RANGE BETWEEN p.radius PRECEDING AND p.radius FOLLOWING) AS least,
+            lag(p.next_pos) OVER v IS NOT DISTINCT FROM p.pos AND lag(m.rank) OVER v IS NOT DISTINCT FROM m.rank AS follows
+        FROM now p JOIN merges m ON m.lhs = p.tok AND m.rhs = p.next_tok
+        WINDOW v AS (PARTITION BY p.word ORDER BY p.pos)
+    ), runs AS (
+        SELECT *, sum((NOT follows)::INT) OVER (PARTITION BY word ORDER BY pos) AS run FROM ranked
+    ), taken AS MATERIALIZED (
+        SELECT word, pos, next_pos, radius, made
+        FROM (SELECT *, row_number() OVER r AS nth, bool_and(least) OVER (PARTITION BY word, run) AS whole FROM runs WINDOW r AS (PARTITION BY word, run ORDER BY pos))
+        WHERE whole AND nth % 2 = 1
     )
-    SELECT step + 1, word, pos, CASE WHEN pos = b.pos THEN b.made ELSE tok END
-    FROM linked JOIN best USING (word) WHERE pos <> b.next_pos)
+    SELECT word, pos, made, radius, true FROM taken
+    UNION ALL
+    SELECT word, next_pos, NULL, radius, true FROM taken)
 )
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last_step FROM tokens)
-WHERE step = last_step GROUP BY word ORDER BY word
+SELECT word, list(tok ORDER BY pos) FILTER (tok IS NOT NULL) AS ids FROM tokens GROUP BY word ORDER BY word
 """
 
 SPLIT = f"""
@@ -83,7 +98,10 @@ class Encoder:
         vocab = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.byte_id = np.array([vocab[c] for c in byte_symbols()], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.vocab, self.decodes, self.byte_of = vocab, False, {c: b for b, c in enumerate(byte_symbols())}
+        self.longest = max(map(len, vocab))
+        self.longest_plain = max(len(v) for v in vocab if v.lstrip("Ġ").isascii() and v.lstrip("Ġ").isalpha())
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = pa.table({
             "lhs": pa.array([vocab[a] for a, _ in pairs], pa.int32()),
             "rhs": pa.array([vocab[b] for _, b in pairs], pa.int32()),
@@ -113,6 +131,7 @@ class Encoder:
                 "word": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), sizes)),
                 "pos": pa.array((np.arange(sizes.sum()) - np.repeat(first, sizes)).astype(np.int32)),
                 "tok": pa.array(self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]),
+                "radius": pa.array(np.repeat(np.array([self.longest_plain if w.isascii() and w.lstrip(" ").isalpha() else self.longest for w in part], np.int32), sizes)),
             })
             self.db.register("start_rows", rows)
             ids = self.db.sql(RECURSION).to_arrow_table().column("ids").combine_chunks()
@@ -165,6 +184,27 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(total[ends].astype(np.int32)), pa.array(self.pool[at]))
 
 
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The text of each list of ids."""
+        if not self.decodes:
+            table = pa.table({"id": pa.array(list(self.vocab.values()), pa.int32()), "symbols": pa.array(list(self.vocab))})
+            self.db.register("vocabulary_in", table)
+            self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
+            self.db.unregister("vocabulary_in")
+            self.decodes = True
+        sizes = pc.list_value_length(ids).to_pylist()
+        self.db.register("lists", pa.table({"row_no": pa.array(range(len(ids)), pa.int32()), "ids": ids}))
+        found = {r: (s, n) for r, s, n in self.db.sql(DECODE).fetchall()}
+        self.db.unregister("lists")
+        out = []
+        for i, size in enumerate(sizes):
+            symbols, n = found.get(i, ("", 0))
+            if size is not None and n != size:
+                raise ValueError("an id that the vocabulary hasn't")
+            out.append(None if size is None else bytes(self.byte_of[c] for c in symbols).decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -200,6 +240,33 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, key: str =
     return src.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+DECODE = """
+SELECT row_no, string_agg(v.symbols, '' ORDER BY i.pos) AS symbols, count(*) AS n
+FROM (SELECT row_no, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM lists) i JOIN vocabulary v USING (id)
+GROUP BY row_no
+"""
+
+
+def decode_documents(encoded: DataFrame, vocabulary: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, text) of every row of ids: the tokens in their order, aggregated and read as UTF-8.
+
+    A null list is a null text, an empty one an empty text; an id that the vocabulary hasn't raises; bytes that are no
+    UTF-8 become replacement characters.
+    """
+    path = vocabulary or default_vocabulary()
+    src = encoded.select(F.col(key), F.col(ids).cast("array<int>").alias(ids))
+    kind = src.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([b.column(0), own.decode(b.column(1))], [key, "text"])
+
+    return src.mapInArrow(run, f"`{key}` {kind}, text string")
+
+
 def token_counts(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens) for every row of `docs`, by the same words and merges, without building the id lists."""
     path = vocabulary or default_vocabulary()

@@ -46,3 +46,30 @@ def test_forgetting(both, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_KNOWN_WORDS", 1)
     same(both, ["some words here", "and other words"])
     same(both, ["yet more of them"])
+
+
+def test_long_words_and_twins(both):
+    import random
+    import time
+
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24_000)), "a" * 24_000, "ab" * 999 + "a" * 31, "é" * 500 + "ñ" * 333, "=-" * 400 + "=" * 77]
+    same(both, words + ["".join(r.choice("aab") for _ in range(n)) for n in range(1, 200)])
+    began = time.thread_time()
+    both[0].forget()
+    both[0].encode(pa.array([words[0]]))
+    assert time.thread_time() - began < 10  # it was 80 when each step contracted one pair
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), min_size=1, max_size=5))
+def test_decoding(both, texts):
+    own, _ = both
+    assert own.decode(own.encode(pa.array(texts))).to_pylist() == texts
+
+
+def test_decoding_rows(spark):
+    docs = spark.createDataFrame([(1, "hello  world\n"), (2, None), (3, "")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in bpe.decode_documents(bpe.encode_documents(docs)).collect()) == [(1, "hello  world\n"), (2, ""), (3, "")]
+    none = spark.createDataFrame([(4, None)], "doc_id bigint, ids array<int>")
+    assert [tuple(r) for r in bpe.decode_documents(none).collect()] == [(4, None)]
