@@ -96,7 +96,7 @@ def database():
     if _db is None:
         import duckdb
 
-        _db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        _db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
     return _db
 
 
