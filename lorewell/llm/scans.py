@@ -1,6 +1,7 @@
 """Problem 1: repair text that was read from scanned pages.
 
-Lines are told apart first: running headers by the document's title, and by what credits and drafts say, page numbers by the pages of the chunk. What is left is body. Every word of the corpus gets an
+Lines are told apart first: running lines at the edges of pages by the document's title, by the number of their page or
+because they come again, page numbers by the pages of the chunk. What is left is body. Every word of the corpus gets an
 anagram hash, the sum of its characters' hashes; a confusion of characters changes it by a fixed difference, so rare
 words are joined in SQL to frequent words whose hash differs by that of a known confusion, and the candidates, checked
 letter by letter, are ranked by frequency. Torn words are found the same way from the parts of frequent words. A line
@@ -55,11 +56,6 @@ def folded(line: str) -> str:
     return s.translate(_fold_one)
 
 
-# Running lines that name a draft, a series or a copy.
-#: The cues are on folded letters, so that a misread letter doesn't hide them.
-_furniture_folded = [folded("draft, do not circ"), folded("working papers"), folded("printed from the reading room copy"), folded("all rights reserved"), folded("internal draft")]
-
-
 def roman(s: str) -> int | None:
     if not ROMAN.match(s):
         return None
@@ -124,10 +120,6 @@ def running(line: str, title: str, first: int | None, last: int | None, heads: b
         return False
     if core.startswith("©") or re.match(r"(?i)^\W{0,2}c[hl]{1,2}ap\W?t\W?er['’]?\s*\W{0,2}\s*[\dlIO|]+\W{0,2}:\s", core.replace("†", "t").replace("é", "e").replace("@", "a").replace("ç", "c").replace("Ç", "C")):
         return True
-    if len(core) <= 90 and not core.endswith(".") and any(c in low for c in _furniture_folded[:4]):
-        return True
-    if len(core) <= 90 and any(near(low[-len(c):], c) for c in _furniture_folded[1:3] if len(low) >= len(c)) or (len(core) <= 90 and any(near(low[-len(c):], c) for c in (folded("internal draft, do not circulate"),) if len(low) >= len(c))):
-        return True
     own = folded(title) if title else ""
     if len(own) < 6:
         return False
@@ -140,20 +132,20 @@ def running(line: str, title: str, first: int | None, last: int | None, heads: b
     return open_end and len(low) >= 6 and near(low, own[:len(low)])
 
 
-#: Lines longer than this are not wrapped by a page.
+#: Lines longer than this are not wrapped by a page; running lines that come again are looked for where lines that are hold half of the text.
 WIDEST = 110
 # Captions and numbered headings, which belong to the body.
 CAPTION = re.compile(r"(?i)^\s*(?:table|figure|fig\.|tabelle|abbildung|tableau|tabla|figura|related work|references|\d+(?:\.\d+)+\b|[*•\-–]\s)")
 
 
-def kinds_of(lines: list[str], title: str, first: int | None, last: int | None) -> tuple[list[str], list[tuple[int, str]]]:
+def kinds_of(lines: list[str], title: str, first: int | None, last: int | None) -> tuple[list[str], list[tuple[int, str, bool]]]:
     """blank, header, page_no or body for each line, and the lines (by number from 1, 0 for what a header tells) that are
-    running ones if they come again in the document: at the top of a page, of several words, without an end of a sentence."""
+    running ones if they come again: at the top of a page, or (then True) at its foot, without an end of a sentence."""
     out: list[str] = []
-    again: list[tuple[int, str]] = []
+    again: list[tuple[int, str, bool]] = []
     shown = 0
     headed = first != 1
-    wrapped = max(map(len, lines), default=0) <= WIDEST
+    wrapped = 2 * sum(len(x) for x in lines if len(x) <= WIDEST) >= sum(map(len, lines))
     for i, line in enumerate(lines):
         s = line.strip()
         if not s:
@@ -168,20 +160,25 @@ def kinds_of(lines: list[str], title: str, first: int | None, last: int | None)
             out.append("header")
             rest = without_number(line, first, last)[0]
             if " · " in rest or re.match(r"\s*\w+ \d+: ", rest):
-                again.append((0, folded(re.split(r" · |^\s*\w+ \d+: ", rest, maxsplit=1)[1])))
+                again.append((0, folded(re.split(r" · |^\s*\w+ \d+: ", rest, maxsplit=1)[1]), False))
             continue
         rest, numbered = without_number(line, first, last) if may else (line, False)
         if numbered and wrapped and re.search(r"\S\s{3,}\S", s) and len(rest.split()) >= 2:
             out.append("header")
-            again.append((0, folded(rest)))
+            again.append((0, folded(rest), False))
             continue
+        following = next((x for x in lines[i + 1:i + 2] if x.strip()), "")
+        foot = not following or page_number(following, first, last)
         if not headed and shown <= 3 and title and near(folded(line), folded(title)):
             headed = True
-        elif may and wrapped and len(s) <= 90 and s[-1] not in CUTS and s[0].isupper() and len(s.split()) >= 3 and (i == 0 or out[-1] != "body") and not CAPTION.match(s) and i + 1 < len(lines) and lines[i + 1].strip():
-            if i == 0 and page_number(lines[1], first, last):
-                out.append("header")
-                continue
-            again.append((i + 1, folded(s)))
+        elif may and wrapped and s[-1] not in CUTS and len(s.split()) >= 3 and not CAPTION.match(s):
+            if foot:
+                again.append((i + 1, folded(rest), True))
+            elif s[0].isupper() and (i == 0 or out[-1] != "body"):
+                if i == 0 and page_number(lines[1], first, last):
+                    out.append("header")
+                    continue
+                again.append((i + 1, folded(s), False))
         out.append("body")
     return out, again
 
@@ -200,8 +197,10 @@ def words_of(text: Column) -> Column:
 
 
 def lexicon(chunks: DataFrame) -> DataFrame:
-    """(word, n) over the texts of all chunks."""
-    return chunks.select(F.explode(words_of(F.col("text"))).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) over the texts of all chunks; the copies of a chunk that is stored more than once share its weight."""
+    copies = chunks.groupBy("chunk_id").agg(F.count("*").alias("copies")).filter("copies > 1 AND chunk_id IS NOT NULL")
+    each = chunks.select("chunk_id", "text").join(small(copies), "chunk_id", "left")
+    return each.select(F.explode(words_of(F.col("text"))).alias("word"), (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight")).filter("word <> ''").groupBy("word").agg(F.round(F.sum("weight")).cast("bigint").alias("n"))
 
 
 def confusions(spark) -> DataFrame:
@@ -234,7 +233,7 @@ def torn_words(words: DataFrame) -> DataFrame:
     return both.filter(F.least("n_left", "n_right") * RATIO <= F.col("m")).select(F.concat_ws(" ", "left", "right").alias("word"), "fixed")
 
 
-LINES = "chunk_id string, resource_id string, chunk_index int, label string, n_lines int, lines array<struct<no:int,kind:string,text:string,joined:boolean>>, again array<struct<no:int,line:string>>"
+LINES = "chunk_id string, resource_id string, chunk_index int, label string, n_lines int, lines array<struct<no:int,kind:string,text:string,joined:boolean>>, again array<struct<no:int,line:string,foot:boolean>>"
 
 
 def read_lines(chunks: DataFrame) -> DataFrame:
@@ -242,9 +241,9 @@ def read_lines(chunks: DataFrame) -> DataFrame:
     pdf = chunks.filter((F.col("source_type") == "pdf") & F.col("text").isNotNull()).select(
         "chunk_id", "resource_id", "chunk_index", "title", F.col("citation_label").alias("label"), F.col("source_ref.page_start").alias("page_start"), F.col("source_ref.page_end").alias("page_end"), "text")
     titles = pdf.filter("title IS NOT NULL AND trim(title) <> ''").groupBy("resource_id").agg(F.min("title").alias("own_title"))
-    src = pdf.join(titles, "resource_id", "left").select("chunk_id", "resource_id", "chunk_index", F.coalesce("title", "own_title", F.lit("")).alias("title"), "label", "page_start", "page_end", "text")
+    src = pdf.join(small(titles), "resource_id", "left").select("chunk_id", "resource_id", "chunk_index", F.coalesce("title", "own_title", F.lit("")).alias("title"), "label", "page_start", "page_end", "text")
     kind = pa.list_(pa.struct([("no", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("joined", pa.bool_())]))
-    tops = pa.list_(pa.struct([("no", pa.int32()), ("line", pa.string())]))
+    tops = pa.list_(pa.struct([("no", pa.int32()), ("line", pa.string()), ("foot", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,7 +252,7 @@ def read_lines(chunks: DataFrame) -> DataFrame:
                 lines = text.split("\n")
                 kinds, again = kinds_of(lines, title, first, last)
                 counts.append(len(lines))
-                seen.append([{"no": n, "line": x} for n, x in again])
+                seen.append([{"no": n, "line": x, "foot": f} for n, x, f in again])
                 lists.append([{"no": i, "kind": k, "text": x if k == "body" else None, "joined": bool(k == "body" and x.rstrip()[-1:] in CUTS and x.rstrip()[-2:-1].isalpha())}
                               for i, (x, k) in enumerate(zip(lines, kinds), 1) if k != "blank"])
             yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("resource_id"), b.column("chunk_index"), b.column("label"), pa.array(counts, pa.int32()), pa.array(lists, kind), pa.array(seen, tops)],
@@ -311,17 +310,20 @@ def misread(read: DataFrame, wrong: DataFrame) -> DataFrame:
     return marks.unionByName(each.join(wrong, "word").select("chunk_id", "no", "word", "fixed"))
 
 
-#: Running lines of a chapter come again within so many chunks.
-CHAPTER = 12
+#: Running lines of a chapter come again within so many chunks; the foot of a page, which names a series or a draft, also in so many documents.
+CHAPTER, DOCUMENTS = 12, 3
 
 
 def running_again(read: DataFrame) -> DataFrame:
-    """(chunk_id, no) of page-top lines that come again near by in their document."""
-    tops = read.select("resource_id", "chunk_id", "chunk_index", F.explode("again").alias("x")).select("resource_id", "chunk_id", "chunk_index", "x.no", "x.line").distinct()
+    """(chunk_id, no) of lines at the top or the foot of a page that come again near by in their document; of feet also those of several documents."""
+    edges = cut(read.select("resource_id", "chunk_id", "chunk_index", F.explode("again").alias("x")).select("resource_id", "chunk_id", "chunk_index", "x.no", "x.line", "x.foot").distinct())
     # overlapping spans of chunks, so that neighbours share at least one and no group grows with its document
-    spans = tops.withColumn("span", F.explode(F.array(F.expr(f"chunk_index div {CHAPTER} * 2"), F.expr(f"(chunk_index + {CHAPTER // 2}) div {CHAPTER} * 2 + 1"))))
+    spans = edges.withColumn("span", F.explode(F.array(F.expr(f"chunk_index div {CHAPTER} * 2"), F.expr(f"(chunk_index + {CHAPTER // 2}) div {CHAPTER} * 2 + 1"))))
     often = spans.groupBy("resource_id", "line", "span").agg(F.count("*").alias("n")).filter("n > 1").select("resource_id", "line", "span")
-    return spans.filter("no > 0").join(often, ["resource_id", "line", "span"], "left_semi").select("chunk_id", "no").distinct()
+    near_by = spans.filter("no > 0").join(often, ["resource_id", "line", "span"], "left_semi").select("chunk_id", "no")
+    feet = edges.filter("foot")
+    known = feet.select("line", "resource_id").distinct().groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= DOCUMENTS).select("line")
+    return near_by.unionByName(feet.join(small(known), "line", "left_semi").select("chunk_id", "no")).distinct()
 
 
 def found_noise(chunks: DataFrame) -> DataFrame:

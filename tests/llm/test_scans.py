@@ -34,7 +34,7 @@ def test_page_numbers():
 
 def test_running_lines():
     title = "Notes on the vector index"
-    for line in ("NOTES ON THE VECTOR INDEX", "N O T E S   O N   T H E   V E C", "3   Notes on the vector index", "Notes on the vec…", "Notes on the vector index · A chapter", "© Any Guild", "Any Guild – internal draft, do not circulate", "Chapter 2: On shards", "Any Guild Working Papers"):
+    for line in ("NOTES ON THE VECTOR INDEX", "N O T E S   O N   T H E   V E C", "3   Notes on the vector index", "Notes on the vec…", "Notes on the vector index · A chapter", "© Any Guild", "Chapter 2: On shards"):
         assert scans.running(line, title, 3, 3, False), line
     for line in ("the reader keeps every sampler", "Related work", "Table 3", "memory block  79", "Notes on the vector store and its many uses"):
         assert not scans.running(line, title, 3, 3, False), line
@@ -46,3 +46,17 @@ def test_anagram_differences(spark):
     v = {r.w: r.v for r in w}
     diff = {(r.seen, r.printed): r["diff"] for r in scans.confusions(spark).collect()}
     assert v["vvith"] + diff[("vv", "w")] == v["with"] == v["w1th"] + diff[("1", "i")]
+
+
+def test_feet_that_come_again(spark):
+    body = "the reader keeps every sampler and\nthe router loads a vector index"
+    rows = [(f"c{i}", f"r{i}", "pdf", f"Title {'abcd'[i]}", body + "\nLeaflets of the Tidal Office", f"page {i}", i, (5, 5)) for i in range(4)]
+    rows += [("d1", "s", "pdf", "Other", "Leaflets of the Harbour\n" + body, "x", 1, (5, 5)), ("d2", "s", "pdf", "Other", "Leaflets of the Harbour\n" + body, "x", 2, (6, 6)), ("d3", "s", "pdf", "Other", "Leaflets of the Quay\n" + body + "\n" + "x" * 120, "x", 90, (6, 6))]
+    df = spark.createDataFrame(rows, "chunk_id string, resource_id string, source_type string, title string, text string, citation_label string, chunk_index int, source_ref struct<page_start:int,page_end:int>")
+    heads = {(r.chunk_id, r.line_no) for r in scans.found_noise(df).collect() if r.kind == "header"}
+    assert heads == {(f"c{i}", 3) for i in range(4)} | {("d1", 1), ("d2", 1)}
+
+
+def test_copies_share_their_weight(spark):
+    df = spark.createDataFrame([("c1", "one two"), ("c1", "one two"), ("c2", "two"), (None, "three"), (None, "three")], "chunk_id string, text string")
+    assert {(r.word, r.n) for r in scans.lexicon(df).collect()} == {("one", 1), ("two", 2), ("three", 2)}
