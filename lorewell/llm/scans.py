@@ -15,6 +15,7 @@ in an empty corpus nothing is found. Clean chunks come out unchanged.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -138,11 +139,12 @@ WIDEST = 110
 CAPTION = re.compile(r"(?i)^\s*(?:table|figure|fig\.|tabelle|abbildung|tableau|tabla|figura|related work|references|\d+(?:\.\d+)+\b|[*•\-–]\s)")
 
 
-def kinds_of(lines: list[str], title: str, first: int | None, last: int | None) -> tuple[list[str], list[tuple[int, str, bool]]]:
+def kinds_of(lines: list[str], title: str, first: int | None, last: int | None) -> tuple[list[str], list[tuple[int, str, bool, int]]]:
     """blank, header, page_no or body for each line, and the lines (by number from 1, 0 for what a header tells) that are
-    running ones if they come again: at the top of a page, or (then True) at its foot, without an end of a sentence."""
+    running ones if they come again: at the top of a page, or (then True) at its foot, without an end of a sentence; with
+    a digest of the line beside it, as what comes again together is text that is there twice."""
     out: list[str] = []
-    again: list[tuple[int, str, bool]] = []
+    again: list[tuple[int, str, bool, int]] = []
     shown = 0
     headed = first != 1
     wrapped = 2 * sum(len(x) for x in lines if len(x) <= WIDEST) >= sum(map(len, lines))
@@ -160,12 +162,12 @@ def kinds_of(lines: list[str], title: str, first: int | None, last: int | None)
             out.append("header")
             rest = without_number(line, first, last)[0]
             if " · " in rest or re.match(r"\s*\w+ \d+: ", rest):
-                again.append((0, folded(re.split(r" · |^\s*\w+ \d+: ", rest, maxsplit=1)[1]), False))
+                again.append((0, folded(re.split(r" · |^\s*\w+ \d+: ", rest, maxsplit=1)[1]), False, -1))
             continue
         rest, numbered = without_number(line, first, last) if may else (line, False)
         if numbered and wrapped and re.search(r"\S\s{3,}\S", s) and len(rest.split()) >= 2:
             out.append("header")
-            again.append((0, folded(rest), False))
+            again.append((0, folded(rest), False, -1))
             continue
         following = next((x for x in lines[i + 1:i + 2] if x.strip()), "")
         foot = not following or page_number(following, first, last)
@@ -173,12 +175,12 @@ def kinds_of(lines: list[str], title: str, first: int | None, last: int | None)
             headed = True
         elif may and wrapped and s[-1] not in CUTS and len(s.split()) >= 3 and not CAPTION.match(s):
             if foot:
-                again.append((i + 1, folded(rest), True))
+                again.append((i + 1, folded(rest), True, zlib.crc32(folded(lines[i - 1]).encode("utf-8", "replace")) if i else 0))
             elif s[0].isupper() and (i == 0 or out[-1] != "body"):
                 if i == 0 and page_number(lines[1], first, last):
                     out.append("header")
                     continue
-                again.append((i + 1, folded(s), False))
+                again.append((i + 1, folded(s), False, zlib.crc32(folded(lines[i + 1]).encode("utf-8", "replace")) if i + 1 < len(lines) else 0))
         out.append("body")
     return out, again
 
@@ -233,7 +235,7 @@ def torn_words(words: DataFrame) -> DataFrame:
     return both.filter(F.least("n_left", "n_right") * RATIO <= F.col("m")).select(F.concat_ws(" ", "left", "right").alias("word"), "fixed")
 
 
-LINES = "chunk_id string, resource_id string, chunk_index int, label string, n_lines int, lines array<struct<no:int,kind:string,text:string,joined:boolean>>, again array<struct<no:int,line:string,foot:boolean>>"
+LINES = "chunk_id string, resource_id string, chunk_index int, label string, n_lines int, lines array<struct<no:int,kind:string,text:string,joined:boolean>>, again array<struct<no:int,line:string,foot:boolean,beside:bigint>>"
 
 
 def read_lines(chunks: DataFrame) -> DataFrame:
@@ -243,7 +245,7 @@ def read_lines(chunks: DataFrame) -> DataFrame:
     titles = pdf.filter("title IS NOT NULL AND trim(title) <> ''").groupBy("resource_id").agg(F.min("title").alias("own_title"))
     src = pdf.join(small(titles), "resource_id", "left").select("chunk_id", "resource_id", "chunk_index", F.coalesce("title", "own_title", F.lit("")).alias("title"), "label", "page_start", "page_end", "text")
     kind = pa.list_(pa.struct([("no", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("joined", pa.bool_())]))
-    tops = pa.list_(pa.struct([("no", pa.int32()), ("line", pa.string()), ("foot", pa.bool_())]))
+    tops = pa.list_(pa.struct([("no", pa.int32()), ("line", pa.string()), ("foot", pa.bool_()), ("beside", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,7 +254,7 @@ def read_lines(chunks: DataFrame) -> DataFrame:
                 lines = text.split("\n")
                 kinds, again = kinds_of(lines, title, first, last)
                 counts.append(len(lines))
-                seen.append([{"no": n, "line": x, "foot": f} for n, x, f in again])
+                seen.append([{"no": n, "line": x, "foot": f, "beside": v} for n, x, f, v in again])
                 lists.append([{"no": i, "kind": k, "text": x if k == "body" else None, "joined": bool(k == "body" and x.rstrip()[-1:] in CUTS and x.rstrip()[-2:-1].isalpha())}
                               for i, (x, k) in enumerate(zip(lines, kinds), 1) if k != "blank"])
             yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("resource_id"), b.column("chunk_index"), b.column("label"), pa.array(counts, pa.int32()), pa.array(lists, kind), pa.array(seen, tops)],
@@ -316,13 +318,13 @@ CHAPTER, DOCUMENTS = 12, 3
 
 def running_again(read: DataFrame) -> DataFrame:
     """(chunk_id, no) of lines at the top or the foot of a page that come again near by in their document; of feet also those of several documents."""
-    edges = cut(read.select("resource_id", "chunk_id", "chunk_index", F.explode("again").alias("x")).select("resource_id", "chunk_id", "chunk_index", "x.no", "x.line", "x.foot").distinct())
+    edges = cut(read.select("resource_id", "chunk_id", "chunk_index", F.explode("again").alias("x")).select("resource_id", "chunk_id", "chunk_index", "x.no", "x.line", "x.foot", "x.beside").distinct())
     # overlapping spans of chunks, so that neighbours share at least one and no group grows with its document
     spans = edges.withColumn("span", F.explode(F.array(F.expr(f"chunk_index div {CHAPTER} * 2"), F.expr(f"(chunk_index + {CHAPTER // 2}) div {CHAPTER} * 2 + 1"))))
-    often = spans.groupBy("resource_id", "line", "span").agg(F.count("*").alias("n")).filter("n > 1").select("resource_id", "line", "span")
+    often = spans.groupBy("resource_id", "line", "span").agg(F.min("beside").alias("a"), F.max("beside").alias("b")).filter("a < b").select("resource_id", "line", "span")
     near_by = spans.filter("no > 0").join(often, ["resource_id", "line", "span"], "left_semi").select("chunk_id", "no")
     feet = edges.filter("foot")
-    known = feet.select("line", "resource_id").distinct().groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= DOCUMENTS).select("line")
+    known = feet.groupBy("line", "resource_id").agg(F.min("beside").alias("a"), F.max("beside").alias("b")).groupBy("line").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).filter((F.col("n") >= DOCUMENTS) & (F.col("a") < F.col("b"))).select("line")
     return near_by.unionByName(feet.join(small(known), "line", "left_semi").select("chunk_id", "no")).distinct()
 
 

@@ -49,9 +49,11 @@ def test_anagram_differences(spark):
 
 
 def test_feet_that_come_again(spark):
-    body = "the reader keeps every sampler and\nthe router loads a vector index"
-    rows = [(f"c{i}", f"r{i}", "pdf", f"Title {'abcd'[i]}", body + "\nLeaflets of the Tidal Office", f"page {i}", i, (5, 5)) for i in range(4)]
-    rows += [("d1", "s", "pdf", "Other", "Leaflets of the Harbour\n" + body, "x", 1, (5, 5)), ("d2", "s", "pdf", "Other", "Leaflets of the Harbour\n" + body, "x", 2, (6, 6)), ("d3", "s", "pdf", "Other", "Leaflets of the Quay\n" + body + "\n" + "x" * 120, "x", 90, (6, 6))]
+    body = "the {0} keeps every sampler and\nthe {0} loads a vector index"
+    words = ["reader", "router", "sampler", "shard", "index", "cohort", "ledger"]
+    rows = [(f"c{i}", f"r{i}", "pdf", f"Title {'abcd'[i]}", body.format(words[i]) + "\nLeaflets of the Tidal Office", f"page {i}", i, (5, 5)) for i in range(4)]
+    rows += [("d1", "s", "pdf", "Other", "Leaflets of the Harbour\n" + body.format(words[4]), "x", 1, (5, 5)), ("d2", "s", "pdf", "Other", "Leaflets of the Harbour\n" + body.format(words[5]), "x", 2, (6, 6)),
+             ("d3", "s", "pdf", "Other", "Leaflets of the Quay\n" + body.format(words[6]) + "\n" + "x" * 120, "x", 90, (6, 6)), ("e1", "t", "pdf", "Twice", body.format("same"), "x", 1, (5, 5)), ("e2", "t", "pdf", "Twice", body.format("same"), "x", 2, (5, 5))]
     df = spark.createDataFrame(rows, "chunk_id string, resource_id string, source_type string, title string, text string, citation_label string, chunk_index int, source_ref struct<page_start:int,page_end:int>")
     heads = {(r.chunk_id, r.line_no) for r in scans.found_noise(df).collect() if r.kind == "header"}
     assert heads == {(f"c{i}", 3) for i in range(4)} | {("d1", 1), ("d2", 1)}
