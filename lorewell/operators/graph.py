@@ -100,8 +100,8 @@ def neighbourhood(all_edges: DataFrame, node: str) -> DataFrame:
     return near.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
 
 
-def shortest_path(all_edges: DataFrame, start: str, goal: str, types: list[str] | None = None, most: int = 20) -> DataFrame:
-    """(step, node_id) of a shortest undirected path; no rows if there is none within `most` edges.
+def shortest_path(all_edges: DataFrame, start: str, goal: str, types: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """(step, node_id) of a shortest undirected path; no rows if there is none (with `most`, none of so many edges).
 
     Breadth first with one join a level; a node's parent is the least id that reaches it, so the path is determined.
     """
@@ -110,9 +110,9 @@ def shortest_path(all_edges: DataFrame, start: str, goal: str, types: list[str]
     both = cut(used.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(used.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct())
     seen = spark.createDataFrame([(start, None, 0)], "node_id string, parent string, level int")
     found = start == goal
-    for level in range(1, most + 1):
-        if found:
-            break
+    level = 0
+    while not found and (most is None or level < most):  # until nothing new is reached
+        level += 1
         front = seen.filter(F.col("level") == level - 1)
         reached = both.join(front, both["a"] == front["node_id"]).groupBy(F.col("b").alias("node_id")).agg(F.min("a").alias("parent")).withColumn("level", F.lit(level))
         fresh = reached.join(seen.select("node_id"), "node_id", "left_anti")
@@ -125,7 +125,7 @@ def shortest_path(all_edges: DataFrame, start: str, goal: str, types: list[str]
     if not found:
         return spark.createDataFrame([], "step int, node_id string")
     path, here = [], goal
-    while here is not None:  # at most `most` rows, one for each step back
+    while here is not None:  # one row for each step back
         path.append(here)
         here = seen.filter(F.col("node_id") == here).select("parent").first()[0]
     return spark.createDataFrame(list(enumerate(reversed(path))), "step int, node_id string")

@@ -37,8 +37,8 @@ def weak_reasons(notes: DataFrame) -> DataFrame:
     return notes.filter("trim(text) <> ''").select("doc_id", F.array_join(why, ";").alias("reasons")).filter("reasons <> ''")
 
 
-def concepts(notes: DataFrame, most: int = 20) -> DataFrame:
-    """(slug, name, notes): bullets of two to sixty characters before a colon, then KEYWORDS that a note holds anywhere, merged by slug.
+def note_concepts(notes: DataFrame, most: int = 20) -> DataFrame:
+    """(doc_id, slug, name): bullets of two to sixty characters before a colon, then KEYWORDS that a note holds anywhere.
 
     A name that a note repeats, in whatever case, counts once; `most` is of different names.
     """
@@ -47,8 +47,18 @@ def concepts(notes: DataFrame, most: int = 20) -> DataFrame:
     names = notes.filter("text IS NOT NULL").select("doc_id", F.posexplode(F.concat(F.filter(bullets, lambda x: F.length(x).between(2, 60)), held)).alias("pos", "name"))
     once = names.groupBy("doc_id", F.lower("name").alias("low")).agg(F.min(F.struct("pos", "name")).alias("first")).select("doc_id", "first.pos", "first.name")
     first = once.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).filter(F.col("n") <= most)
-    keyed = first.withColumn("slug", T.slug(F.col("name"))).filter("slug <> ''")
-    return keyed.groupBy("slug").agg(F.min("name").alias("name"), F.count_distinct("doc_id").alias("notes"))
+    return first.select("doc_id", T.slug(F.col("name")).alias("slug"), "name").filter("slug <> ''")
+
+
+def concepts(notes: DataFrame, most: int = 20) -> DataFrame:
+    """(slug, name, notes): the concepts of all notes, merged by slug."""
+    return note_concepts(notes, most).groupBy("slug").agg(F.min("name").alias("name"), F.count_distinct("doc_id").alias("notes"))
+
+
+def resource_concepts(notes: DataFrame) -> DataFrame:
+    """(resource_id, slug): the concepts of each resource by the notes on it."""
+    own = notes.filter("resource_id IS NOT NULL").select("doc_id", "resource_id")
+    return note_concepts(notes).select("doc_id", "slug").join(own, "doc_id").select("resource_id", "slug").distinct()
 
 
 def flashcards(notes: DataFrame) -> DataFrame:

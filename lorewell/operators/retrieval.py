@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 from lorewell.operators import search as S
+from lorewell.session import cut
 
 #: Fusion weights, candidate depth and boosts.
 BM25_WEIGHT, VECTOR_WEIGHT, DEPTH = 0.55, 0.45, 3
-SAME_TOPIC, SHARED_CONCEPT, SAME_TYPE, RELATED, MOST = 0.04, 0.03, 0.02, 0.01, 0.10
+SAME_TOPIC, SHARED_CONCEPT, SAME_TYPE, MOST = 0.04, 0.03, 0.02, 0.10
 
 
 def max_normalized(scores: DataFrame, name: str) -> DataFrame:
@@ -34,11 +35,11 @@ def hybrid(docs: DataFrame, bm25: DataFrame, vector: DataFrame, limit: int) -> D
     return S.top(fused(bm25, vector, limit).join(meta, "chunk_id"), limit, "resource_id", "chunk_id")
 
 
-def graph_boost(candidates: DataFrame, topics: DataFrame, resource_types: DataFrame) -> DataFrame:
+def graph_boost(candidates: DataFrame, topics: DataFrame, resource_types: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
     """(query_id, resource_id, boost, shared_topics): what candidates of one query gain from one another.
 
-    Single hops only: topics that another candidate resource has too, and the commonest source type (ties: the least
-    name) if more than one candidate has it.
+    Single hops only: topics, and with `concepts` (resource_id, slug) concepts, that another candidate resource has too,
+    and the commonest source type (ties: the least name) if more than one candidate has it.
     """
     own = candidates.select("query_id", "resource_id").distinct()
     with_topic = own.join(topics.select(F.col("id").alias("resource_id"), F.explode("topics").alias("topic")), "resource_id")
@@ -48,14 +49,20 @@ def graph_boost(candidates: DataFrame, topics: DataFrame, resource_types: DataFr
     counts = typed.groupBy("query_id", "source_type").agg(F.count("*").alias("n"))
     chief = counts.groupBy("query_id").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("source_type").alias("chief"))).alias("c")).filter("c.m < -1").select("query_id", "c.chief")
     joined = typed.join(chief, "query_id", "left").join(shared, ["query_id", "resource_id"], "left")
-    boost = F.when(F.col("shared_topics").isNotNull(), SAME_TOPIC).otherwise(0.0) + F.when(F.col("chief") == F.col("source_type"), SAME_TYPE).otherwise(0.0)
+    if concepts is None:
+        joined = joined.withColumn("conceptual", F.lit(False))
+    else:
+        with_concept = own.join(concepts.select("resource_id", "slug").distinct(), "resource_id")
+        known = with_concept.groupBy("query_id", "slug").agg(F.count("*").alias("n")).filter("n > 1").select("query_id", "slug")
+        joined = joined.join(with_concept.join(known, ["query_id", "slug"], "left_semi").select("query_id", "resource_id", F.lit(True).alias("conceptual")).distinct(), ["query_id", "resource_id"], "left")
+    boost = F.when(F.col("conceptual"), SHARED_CONCEPT).otherwise(0.0) + F.when(F.col("shared_topics").isNotNull(), SAME_TOPIC).otherwise(0.0) + F.when(F.col("chief") == F.col("source_type"), SAME_TYPE).otherwise(0.0)
     return joined.select("query_id", "resource_id", F.round(F.least(F.lit(MOST), F.greatest(F.lit(0.0), boost)), 6).alias("boost"), F.coalesce("shared_topics", F.array().cast("array<string>")).alias("shared_topics"))
 
 
-def graph_lite(docs: DataFrame, bm25: DataFrame, vector: DataFrame, topics: DataFrame, resources: DataFrame, limit: int) -> DataFrame:
+def graph_lite(docs: DataFrame, bm25: DataFrame, vector: DataFrame, topics: DataFrame, resources: DataFrame, limit: int, concepts: DataFrame | None = None) -> DataFrame:
     """Hybrid candidates re-ranked by score plus boost."""
     found = fused(bm25, vector, limit).join(docs.select("chunk_id", "resource_id"), "chunk_id")
-    boosts = graph_boost(found, topics, resources.select("id", "source_type"))
+    boosts = graph_boost(found, topics, resources.select("id", "source_type"), concepts)
     scored = found.join(boosts, ["query_id", "resource_id"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0))).withColumn("score", F.round(F.col("score") + F.col("boost"), 6))
     return S.top(scored, limit, "resource_id", "chunk_id")
 
@@ -65,8 +72,8 @@ def metrics(ranked: DataFrame, expected: DataFrame, ks: list[int]) -> DataFrame:
     cases = expected.groupBy("query_id").agg(F.count_distinct("resource_id").alias("n_expected"))
     grid = cases.select("query_id", "n_expected", F.explode(F.array(*map(F.lit, ks))).alias("k"))
     hits = ranked.join(expected.distinct().withColumn("is_hit", F.lit(1)), ["query_id", "resource_id"], "left")
-    cut = grid.join(hits, "query_id", "left").filter(F.col("rank").isNull() | (F.col("rank") <= F.col("k")))
-    got = cut.groupBy("query_id", "k", "n_expected").agg(F.count("rank").alias("returned"), F.count_distinct(F.when(F.col("is_hit") == 1, F.col("resource_id"))).alias("matched"), F.min(F.when(F.col("is_hit") == 1, F.col("rank"))).alias("first_rank"))
+    within = grid.join(hits, "query_id", "left").filter(F.col("rank").isNull() | (F.col("rank") <= F.col("k")))
+    got = within.groupBy("query_id", "k", "n_expected").agg(F.count("rank").alias("returned"), F.count_distinct(F.when(F.col("is_hit") == 1, F.col("resource_id"))).alias("matched"), F.min(F.when(F.col("is_hit") == 1, F.col("rank"))).alias("first_rank"))
     every = grid.join(got.drop("n_expected"), ["query_id", "k"], "left").na.fill(0, ["returned", "matched"])
     return every.select("query_id", "k", F.round(F.col("matched") / F.col("n_expected"), 6).alias("recall"), F.round(F.when(F.col("returned") > 0, F.col("matched") / F.col("returned")).otherwise(0.0), 6).alias("precision"),
                         F.when(F.col("matched") > 0, 1.0).otherwise(0.0).alias("hit"), F.round(F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0)), 6).alias("mrr"))
@@ -99,11 +106,11 @@ def sentences(text):
 
 
 def extract_answers(pack: DataFrame, queries: DataFrame, per_chunk: int = 3) -> DataFrame:
-    """(query_id, rank, chunk_id, answer): up to three sentences of each chunk that share a word with the query, each cited."""
+    """(query_id, rank, chunk_id, answer): up to three sentences of each chunk that share a word with the query, else its first three, each cited."""
     words = queries.select("query_id", F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(QUERY_WORD), 0)).alias("words"))
     rows = pack.join(words, "query_id").withColumn("s", sentences(F.col("text")))
     hit = F.filter("s", lambda s: (F.size(F.col("words")) == 0) | F.arrays_overlap(F.regexp_extract_all(F.lower(s), F.lit(QUERY_WORD), 0), F.col("words")))
-    cited = F.transform(F.slice(hit, 1, per_chunk), lambda s: F.concat(s, F.lit(" "), F.col("citation_label")))
+    cited = F.transform(F.slice(F.when(F.size(hit) > 0, hit).otherwise(F.col("s")), 1, per_chunk), lambda s: F.concat(s, F.lit(" "), F.col("citation_label")))
     return rows.select("query_id", "rank", "chunk_id", F.array_join(cited, " ").alias("answer"))
 
 
@@ -116,3 +123,79 @@ def grade(pack: DataFrame, answers: DataFrame) -> DataFrame:
     cover = used.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("used"))
     joined = total.join(cover, "query_id", "left").join(wrong, "query_id", "left").na.fill(0, ["used", "wrong"])
     return joined.select("query_id", F.round(F.col("used") / F.col("chunks"), 6).alias("chunk_coverage"), (F.col("wrong") == 0).alias("labels_valid"), (F.col("used") > 0).alias("answered"))
+
+
+MODES = ("bm25", "vector", "hybrid", "graph_lite")
+
+
+def retrieve(index: S.Index, queries: DataFrame, mode: str, limit: int = 10, source_types: list[str] | None = None, resource_ids: list[str] | None = None, topics: DataFrame | None = None, resources: DataFrame | None = None, concepts: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, resource_id, source_type, score, bm25, vector, boost, matched_terms, mode): the first `limit` of each query.
+
+    Filters apply after scoring and before the cut to candidates, so that they don't change scores. `bm25` and `vector`
+    are the parts of the score (fused ones over the query's best), null where the mode has none. An unknown mode raises.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    meta = index.chunks
+    if source_types:
+        meta = meta.filter(F.col("source_type").isin(source_types))
+    if resource_ids:
+        meta = meta.filter(F.col("resource_id").isin(resource_ids))
+    scores = index.scores(queries).join(meta, "chunk_id")
+    none = F.lit(None).cast("double")
+    shown = ["query_id", "rank", "chunk_id", "resource_id", "source_type", "score", "bm25", "vector", "boost", "matched_terms"]
+    if mode in ("bm25", "vector"):
+        own = "bm25" if mode == "bm25" else "cosine"
+        found = S.top(scores.filter(F.col(own) > 0).withColumn("score", F.col(own)), limit, "chunk_id")
+        found = found.withColumn("bm25", F.col("score") if mode == "bm25" else none).withColumn("vector", F.col("score") if mode == "vector" else none).withColumn("boost", F.lit(0.0))
+        return found.select(*shown, F.lit(mode).alias("mode"))
+    scores = cut(scores)
+    one = scores.filter("bm25 > 0").select("query_id", "chunk_id", F.col("bm25").alias("score"))
+    two = scores.filter("cosine > 0").select("query_id", "chunk_id", F.col("cosine").alias("score"))
+    found = fused(one, two, limit).join(scores.select("query_id", "chunk_id", "resource_id", "source_type", "matched_terms"), ["query_id", "chunk_id"]).withColumn("boost", F.lit(0.0))
+    if mode == "graph_lite":
+        found = cut(found.drop("boost"))
+        boosts = graph_boost(found, topics, resources.select("id", "source_type"), concepts).select("query_id", "resource_id", "boost")
+        found = found.join(boosts, ["query_id", "resource_id"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0))).withColumn("score", F.round(F.col("score") + F.col("boost"), 6))
+    return S.top(found, limit, "resource_id", "chunk_id").select(*shown, F.lit(mode).alias("mode"))
+
+
+def term_coverage(ranked: DataFrame, docs: DataFrame, expected_terms: DataFrame, ks: list[int]) -> DataFrame:
+    """(query_id, k, coverage): of a query's expected terms the share that occurs in the texts of its first `k` results, whatever the case; queries without expected terms are left out."""
+    terms = expected_terms.select("query_id", F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
+    texts = ranked.select("query_id", "rank", "chunk_id").join(docs.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")), "chunk_id")
+    seen = texts.join(terms, "query_id").filter(F.expr("contains(text, term)")).groupBy("query_id", "term").agg(F.min("rank").alias("first_rank"))
+    grid = terms.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).join(seen, ["query_id", "term"], "left")
+    return grid.groupBy("query_id", "k").agg(F.round(F.count_if(F.col("first_rank") <= F.col("k")) / F.count("*"), 6).alias("coverage"))
+
+
+# The banner of an extractive answer, its body without context, the ids of the checks in their order.
+BANNER = "MOCK / NO-LLM ANSWER"
+NO_CONTEXT = "I don't know based on the provided context. (MOCK / NO-LLM ANSWER — no context chunks were retrieved.)"
+CHECKS = ["answer_has_body", "answer_marked_mock_no_llm", "answer_is_mock_flag", "cited_answer_has_citations", "citations_exist_in_context", "no_hallucinated_source_ids", "answer_non_empty_when_context",
+          "context_chunk_coverage", "context_source_coverage"]
+
+
+def answer_bodies(answers: DataFrame, pack: DataFrame) -> DataFrame:
+    """(query_id, body, labels, used_chunks, used_sources, is_mock): the paragraphs of a query's chunks under the banner, in the order of their rank."""
+    used = answers.filter("answer <> ''").join(pack.select("query_id", "chunk_id", "citation_label", "resource_id"), ["query_id", "chunk_id"])
+    rows = used.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "citation_label", "answer", "chunk_id", "resource_id"))).alias("r"))
+    body = F.concat(F.lit(BANNER + "\n\n"), F.array_join(F.transform("r", lambda x: F.concat(F.lit("From "), x["citation_label"], F.lit(":\n\n"), x["answer"])), "\n\n"))
+    return rows.select("query_id", body.alias("body"), F.array_distinct(F.transform("r", lambda x: x["citation_label"])).alias("labels"), F.array_distinct(F.transform("r", lambda x: x["chunk_id"])).alias("used_chunks"),
+                       F.array_distinct(F.array_compact(F.transform("r", lambda x: x["resource_id"]))).alias("used_sources"), F.lit(True).alias("is_mock"))
+
+
+def answer_checks(bodies: DataFrame, pack: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, check, passed, score): the nine checks of each query's answer against its pack; a query without context passes what asks about context."""
+    packs = pack.groupBy("query_id").agg(F.collect_set("citation_label").alias("pack_labels"), F.collect_set("chunk_id").alias("pack_chunks"), F.collect_set("resource_id").alias("pack_sources"))
+    none = F.array().cast("array<string>")
+    r = queries.select("query_id").distinct().join(packs, "query_id", "left").join(bodies, "query_id", "left")
+    r = r.select("query_id", F.coalesce("body", F.lit(BANNER + "\n\n" + NO_CONTEXT)).alias("body"), F.coalesce("is_mock", F.lit(True)).alias("is_mock"), *(F.coalesce(c, none).alias(c) for c in ("pack_labels", "pack_chunks", "pack_sources", "labels", "used_chunks", "used_sources")))
+    said = F.array_union(F.regexp_extract_all("body", F.lit(r"(\[cite:[0-9]+\])"), 1), F.col("labels"))
+    context = F.size("pack_chunks") > 0
+    share = lambda used, whole: F.when(F.size(whole) > 0, F.size(F.array_intersect(used, whole)) / F.size(whole)).otherwise(1.0)
+    passed = [F.trim("body") != "", F.col("body").contains(BANNER), F.col("is_mock"), ~context | (F.size(said) > 0), F.size(F.array_except(said, "pack_labels")) == 0, F.size(F.array_except("used_sources", "pack_sources")) == 0,
+              ~context | ((F.trim("body") != "") & ~F.col("body").contains(NO_CONTEXT)), share("used_chunks", "pack_chunks") > 0, share("used_sources", "pack_sources") > 0]
+    score = [F.when(p, 1.0).otherwise(0.0) for p in passed[:7]] + [F.round(share("used_chunks", "pack_chunks"), 6), F.round(share("used_sources", "pack_sources"), 6)]
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("check"), p.alias("passed"), s.cast("double").alias("score")) for c, p, s in zip(CHECKS, passed, score))))
+    return r.select("query_id", each.alias("x")).select("query_id", "x.check", "x.passed", "x.score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from lorewell.functions import text as T
 from lorewell.functions import urls as U
 from lorewell.operators import checks, chunking, dense, graph, ledger, notes, registry, retrieval, search, topics, views
 from lorewell.plans import oracles
-from lorewell.session import cut, table
+from lorewell.session import cut, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -283,8 +284,19 @@ def paywalled(s, d):
 
 
 # -- topics and views -----------------------------------------------------------------------------------------------
+#: Tables that several queries of one application read, written once: by application, folder and name.
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def _once(s, d, name, make):
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def _topics(s, d):
-    return topics.resource_topics(table(s, d, "resources"))
+    return _once(s, d, "topics", lambda: cut(topics.resource_topics(table(s, d, "resources"))))
 
 
 @query
@@ -384,21 +396,25 @@ def _docs(s, d):
     return search.corpus(table(s, d, "chunks"))
 
 
+def _index(s, d):
+    """The stored index of the chunks; the first query that asks for it writes it."""
+    return _once(s, d, "index", lambda: search.Index.build(_docs(s, d), f"{shared_folder(s)}/index-{uuid.uuid4().hex}"))
+
+
 def _queries(s, d):
-    """Every document with a title whose id is divisible by 50 asks with its title."""
-    return table(s, d, "documents").filter("doc_id % 50 = 0 AND title IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+    """Every document whose id is divisible by 50 asks with its title, or its first line where it has none."""
+    q = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.split("text", "\n")[0], F.lit(""))
+    return table(s, d, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), q.alias("query"))
 
 
 @query
 def bm25_topk(s, d):
-    return search.top(search.bm25_scores(_docs(s, d), _queries(s, d)), 10, "chunk_id").select("query_id", "rank", "chunk_id", "score", F.array_join("matched_terms", " ").alias("matched_terms"))
+    return search.top(_index(s, d).bm25(_queries(s, d)), 10, "chunk_id").select("query_id", "rank", "chunk_id", "score", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
 @query
 def bm25_pdf_topk(s, d):
-    docs = _docs(s, d)
-    scores = search.bm25_scores(docs, _queries(s, d)).join(docs.filter("source_type = 'pdf'").select("chunk_id"), "chunk_id")
-    return search.top(scores, 5, "chunk_id").select("query_id", "rank", "chunk_id", "score")
+    return retrieval.retrieve(_index(s, d), _queries(s, d), "bm25", 5, source_types=["pdf"]).select("query_id", "rank", "chunk_id", "score")
 
 
 @query
@@ -423,7 +439,7 @@ def idf_table(s, d):
 
 @query
 def tfidf_cosine_topk(s, d):
-    return search.top(search.cosine_scores(_docs(s, d), _queries(s, d)), 10, "chunk_id").select("query_id", "rank", "chunk_id", "score")
+    return search.top(_index(s, d).cosine(_queries(s, d)), 10, "chunk_id").select("query_id", "rank", "chunk_id", "score")
 
 
 @query
@@ -433,37 +449,49 @@ def hashed_vector_stats(s, d):
 
 
 @query
-def dense_cosine_topk(s, d):
-    return dense.top_cosine(table(s, d, "embeddings"))
+def hashed_topk(s, d):
+    docs = cut(_docs(s, d))
+    return search.top(search.hashed_scores(docs, _queries(s, d)), 10, "chunk_id").select("query_id", "rank", "chunk_id", "score")
 
 
-def _both_scores(s, d):
-    docs = cut(_docs(s, d))
-    return docs, cut(search.bm25_scores(docs, _queries(s, d))), cut(search.cosine_scores(docs, _queries(s, d)))
+@query
+def dense_cosine_topk(s, d):
+    return dense.top_cosine(table(s, d, "embeddings"))
 
 
 @query
 def hybrid_topk(s, d):
-    docs, a, b = _both_scores(s, d)
-    return retrieval.hybrid(docs, a, b, 10).select("query_id", "rank", "chunk_id", "score")
+    return retrieval.retrieve(_index(s, d), _queries(s, d), "hybrid").select("query_id", "rank", "chunk_id", "score")
 
 
 @query
 def graph_lite_topk(s, d):
-    docs, a, b = _both_scores(s, d)
-    return retrieval.graph_lite(docs, a, b, _topics(s, d), table(s, d, "resources"), 10).select("query_id", "rank", "chunk_id", "boost", "score")
+    found = retrieval.retrieve(_index(s, d), _queries(s, d), "graph_lite", topics=_topics(s, d), resources=table(s, d, "resources"), concepts=notes.resource_concepts(table(s, d, "documents")))
+    return found.select("query_id", "rank", "chunk_id", "boost", "score")
+
+
+@query
+def retrieve_by_mode(s, d):
+    """All modes over web pages and Markdown."""
+    out = None
+    for mode in retrieval.MODES:
+        one = retrieval.retrieve(_index(s, d), _queries(s, d), mode, 5, source_types=["webpage", "markdown"], topics=_topics(s, d), resources=table(s, d, "resources"), concepts=notes.resource_concepts(table(s, d, "documents"))).select("mode", "query_id", "rank", "chunk_id", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _expected(s, d):
     """A document's own resource is what its title should find."""
-    return table(s, d, "documents").filter("doc_id % 50 = 0 AND title IS NOT NULL AND resource_id IS NOT NULL").select(F.col("doc_id").alias("query_id"), "resource_id")
+    return table(s, d, "documents").filter("doc_id % 50 = 0 AND resource_id IS NOT NULL").select(F.col("doc_id").alias("query_id"), "resource_id")
+
+
+def _ranked(s, d):
+    return retrieval.retrieve(_index(s, d), _queries(s, d), "bm25", 10)
 
 
 @query
 def retrieval_eval_metrics(s, d):
-    docs = cut(_docs(s, d))
-    ranked = search.top(search.bm25_scores(docs, _queries(s, d)), 10, "chunk_id").join(docs.select("chunk_id", "resource_id"), "chunk_id")
-    return retrieval.metrics(ranked, _expected(s, d), [1, 3, 5, 10])
+    return retrieval.metrics(_ranked(s, d), _expected(s, d), [1, 3, 5, 10])
 
 
 @query
@@ -471,11 +499,16 @@ def retrieval_eval_aggregate(s, d):
     return retrieval.mean_metrics(retrieval_eval_metrics(s, d))
 
 
+@query
+def retrieval_eval_terms(s, d):
+    """The words of the query are what its results should hold."""
+    asked = search.query_terms(_queries(s, d))
+    return retrieval.term_coverage(_ranked(s, d), _docs(s, d), asked, [1, 3, 10])
+
+
 @query
 def context_pack_chunks(s, d):
-    docs = cut(_docs(s, d))
-    ranked = search.top(search.bm25_scores(docs, _queries(s, d)), 10, "chunk_id")
-    return retrieval.context_pack(ranked, docs)
+    return retrieval.context_pack(_ranked(s, d), _docs(s, d))
 
 
 @query
@@ -494,6 +527,13 @@ def answer_grades(s, d):
     return retrieval.grade(pack, retrieval.extract_answers(pack, _queries(s, d)))
 
 
+@query
+def answer_checks(s, d):
+    """The nine checks of each answer."""
+    pack = cut(context_pack_chunks(s, d))
+    return retrieval.answer_checks(retrieval.answer_bodies(retrieval.extract_answers(pack, _queries(s, d)), pack), pack, _queries(s, d))
+
+
 # -- notes ----------------------------------------------------------------------------------------------------------
 @query
 def missing_citations(s, d):

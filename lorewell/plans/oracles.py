@@ -5,7 +5,8 @@ from __future__ import annotations
 from lorewell.functions.text import STOPWORDS
 from lorewell.functions.urls import TRACKING
 from lorewell.operators.graph import BEGINNER, DEEP
-from lorewell.operators.notes import SYSTEM
+from lorewell.operators.notes import KEYWORDS, SYSTEM
+from lorewell.operators.retrieval import BANNER, CHECKS, NO_CONTEXT
 from lorewell.operators.topics import TOPICS
 
 
@@ -107,7 +108,7 @@ FIELDS = f"""raw AS (SELECT chunk_id, 'text' AS f, 1.0::DOUBLE AS w, unnest({tok
 counts AS (SELECT chunk_id, f, w, term, {even('count(*) * w')}::BIGINT AS tf FROM raw GROUP BY chunk_id, f, w, term),
 postings AS (SELECT chunk_id, term, sum(tf)::BIGINT AS tf FROM counts GROUP BY chunk_id, term),
 lens AS (SELECT chunk_id, sum(s)::BIGINT AS dl FROM (SELECT chunk_id, {even('sum(tf) * w')} AS s FROM counts GROUP BY chunk_id, f, w) GROUP BY chunk_id)"""
-ASKED = f"qs AS (SELECT doc_id AS query_id, title AS query FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL), qt AS (SELECT query_id, unnest(list_distinct({tok('query')})) AS term FROM qs)"
+ASKED = f"qs AS (SELECT doc_id AS query_id, coalesce(nullif(trim(title), ''), string_split(text, chr(10))[1], '') AS query FROM documents WHERE doc_id % 50 = 0), qt AS (SELECT query_id, unnest(list_distinct({tok('query')})) AS term FROM qs)"
 BM25 = """dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 weights AS (SELECT p.chunk_id, p.term, CASE WHEN p.tf > 0 THEN ln((st.n - d.df + 0.5e0) / (d.df + 0.5e0) + 1e0) * p.tf * 2.5e0 / (p.tf + 1.5e0 * (0.25e0 + 0.75e0 * l.dl / st.avgdl)) ELSE 0e0 END AS w
   FROM postings p JOIN dfs d USING (term) JOIN lens l USING (chunk_id), st),
@@ -128,13 +129,22 @@ FUSED = f"""{SEARCH}, {COSINE}, {ranked('bm', 30, 'b30')}, {ranked('cs', 30, 'c3
 bn AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS s FROM b30), cn AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS s FROM c30),
 fu AS (SELECT query_id, chunk_id, round(coalesce(bn.s, 0) * 0.55e0 + coalesce(cn.s, 0) * 0.45e0, 6) AS score FROM bn FULL JOIN cn USING (query_id, chunk_id)),
 fd AS (SELECT fu.*, resource_id, source_type FROM fu JOIN docs USING (chunk_id))"""
-PACK = f"""{SEARCH}, {ranked('bm', 5, 'b5')},
-pack AS (SELECT query_id, rank, '[cite:' || rank || ']' AS citation_label, chunk_id, resource_id, {trimmed("coalesce(docs.text, '')", 600)} AS text, length(coalesce(docs.text, '')) > 600 AS truncated FROM b5 JOIN docs USING (chunk_id))"""
+PACK = f"""{SEARCH}, {ranked('bm', 10, 'b10')},
+pack AS (SELECT query_id, rank, '[cite:' || rank || ']' AS citation_label, chunk_id, resource_id, coalesce(docs.text, '') AS text, false AS truncated FROM b10 JOIN docs USING (chunk_id))"""
 ANSWERS = rf"""{PACK}, qw AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9][a-z0-9_\-]*')) AS ws FROM qs),
-se AS (SELECT query_id, rank, chunk_id, citation_label, ws, list_filter(list_transform(string_split(regexp_replace({strip('text')}, '([.!?])\s+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> '') AS ss FROM pack JOIN qw USING (query_id)),
-ans AS (SELECT query_id, rank, chunk_id, citation_label, array_to_string(list_transform(list_filter(ss, lambda s: len(ws) = 0 OR list_has_any(regexp_extract_all(lower(s), '[a-z0-9][a-z0-9_\-]*'), ws))[1:3], lambda s: s || ' ' || citation_label), ' ') AS answer FROM se)"""
+se AS (SELECT query_id, rank, chunk_id, resource_id, citation_label, ws, list_filter(list_transform(string_split(regexp_replace({strip('text')}, '([.!?])\s+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> '') AS ss FROM pack JOIN qw USING (query_id)),
+hs AS (SELECT *, list_filter(ss, lambda s: len(ws) = 0 OR list_has_any(regexp_extract_all(lower(s), '[a-z0-9][a-z0-9_\-]*'), ws)) AS hit FROM se),
+ans AS (SELECT query_id, rank, chunk_id, resource_id, citation_label, array_to_string(list_transform((CASE WHEN len(hit) > 0 THEN hit ELSE ss END)[1:3], lambda s: s || ' ' || citation_label), ' ') AS answer FROM hs)"""
+GRADED = rf"""{ANSWERS}, lb AS (SELECT query_id, unnest(regexp_extract_all(answer, '\[cite:\d+\]')) AS label FROM ans WHERE answer <> ''),
+bad AS (SELECT query_id, count(*) AS wrong FROM (SELECT DISTINCT query_id, label FROM lb) x WHERE NOT EXISTS (SELECT 1 FROM pack p WHERE p.query_id = x.query_id AND p.citation_label = x.label) GROUP BY 1)"""
+NINE = rf"""{ANSWERS}, pk AS (SELECT query_id, list(DISTINCT citation_label) AS pl, list(DISTINCT chunk_id) AS pc, list(DISTINCT resource_id) FILTER (resource_id IS NOT NULL) AS ps FROM pack GROUP BY 1),
+bo AS (SELECT query_id, '{BANNER}' || chr(10) || chr(10) || string_agg('From ' || citation_label || ':' || chr(10) || chr(10) || answer, chr(10) || chr(10) ORDER BY rank) AS body, list(DISTINCT citation_label) AS la, list(DISTINCT chunk_id) AS uc, list(DISTINCT resource_id) FILTER (resource_id IS NOT NULL) AS us FROM ans WHERE answer <> '' GROUP BY 1),
+al AS (SELECT query_id, coalesce(body, '{BANNER}' || chr(10) || chr(10) || '{NO_CONTEXT.replace(chr(39), chr(39) * 2)}') AS body, coalesce(pl, []) AS pl, coalesce(pc, []) AS pc, coalesce(ps, []) AS ps, coalesce(la, []) AS la, coalesce(uc, []) AS uc, coalesce(us, []) AS us FROM qs LEFT JOIN pk USING (query_id) LEFT JOIN bo USING (query_id)),
+ck AS (SELECT *, list_distinct(list_concat(regexp_extract_all(body, '\[cite:[0-9]+\]'), la)) AS said, CASE WHEN len(pc) > 0 THEN len(list_intersect(uc, pc)) / len(pc) ELSE 1e0 END AS cc, CASE WHEN len(ps) > 0 THEN len(list_intersect(us, ps)) / len(ps) ELSE 1e0 END AS sc FROM al),
+pa AS (SELECT query_id, cc, sc, [trim(body) <> '', contains(body, '{BANNER}'), true, len(pc) = 0 OR len(said) > 0, len(list_filter(said, lambda x: NOT list_contains(pl, x))) = 0, len(list_filter(us, lambda x: NOT list_contains(ps, x))) = 0,
+  len(pc) = 0 OR (trim(body) <> '' AND NOT contains(body, '{NO_CONTEXT.replace(chr(39), chr(39) * 2)}')), cc > 0, sc > 0] AS ok FROM ck)"""
 EVAL = f"""{SEARCH}, {ranked('bm', 10, 'b10')}, r AS (SELECT b10.*, resource_id FROM b10 JOIN docs USING (chunk_id)),
-ex AS (SELECT doc_id AS query_id, resource_id FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL AND resource_id IS NOT NULL),
+ex AS (SELECT doc_id AS query_id, resource_id FROM documents WHERE doc_id % 50 = 0 AND resource_id IS NOT NULL),
 grid AS (SELECT query_id, count(DISTINCT resource_id) AS n_expected, unnest([1, 3, 5, 10]) AS k FROM ex GROUP BY query_id),
 got AS (SELECT g.query_id, g.k, any_value(n_expected) AS n_expected, count(r.rank) AS returned, count(DISTINCT ex.resource_id) AS matched, min(CASE WHEN ex.resource_id IS NOT NULL THEN r.rank END) AS first_rank
   FROM grid g LEFT JOIN r ON r.query_id = g.query_id AND r.rank <= g.k LEFT JOIN ex ON ex.query_id = r.query_id AND ex.resource_id = r.resource_id GROUP BY g.query_id, g.k),
@@ -142,6 +152,12 @@ met AS (SELECT query_id, k, round(matched / n_expected, 6) AS recall, round(CASE
 
 CITED = r"cited AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '(?s)```.*?(?:```|$)', '', 'g'), '\[source: ?([^\]]+)\]', 1))) AS chunk_id FROM documents WHERE text IS NOT NULL)"
 
+NOTE_CONCEPTS = rf"""nl AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+nb AS (SELECT doc_id, list_concat(list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*] ')), lambda x: trim(string_split(regexp_replace(x, '^[ \t]*[-*] +', ''), ':')[1])), lambda x: length(x) BETWEEN 2 AND 60),
+  list_filter({_list(KEYWORDS)}, lambda k: contains(lower(text), lower(k)))) AS names FROM nl),
+nn AS (SELECT doc_id, unnest(names) AS name, generate_subscripts(names, 1) AS pos FROM nb), n1 AS (SELECT doc_id, lower(name) AS low, min(pos) AS pos, arg_min(name, pos) AS name FROM nn GROUP BY 1, 2),
+nc AS (SELECT doc_id, name, {slug('name')} AS slug FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM n1) WHERE n <= 20 AND {slug('name')} <> '')"""
+
 # -- graph ------------------------------------------------------------------------------------------------------------
 NODE = "'resource:' || replace(id, ':', '_')"
 NODES = f"""nodes AS (SELECT 'topic:' || t AS node_id, 'topic' AS type, t AS label FROM (SELECT unnest({_list(TOPICS)}) AS t) UNION ALL SELECT {NODE}, 'resource', {shown()} FROM resources
@@ -160,6 +176,18 @@ s AS (SELECT doc_id, sec, max(CASE WHEN head THEN trim(regexp_replace(regexp_rep
 k AS (SELECT *, sec = max(sec) OVER (PARTITION BY doc_id) AS is_last FROM s)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INT AS section_no, heading, length(regexp_replace(coalesce(body, ''), '^\s+|\s+$', '', 'g'))::BIGINT AS n FROM k WHERE n_body > 0 OR is_last"""
 
+def boosted(fd: str, k: int) -> str:
+    """The first `k` of fused candidates with what their resources gain from one another."""
+    return f"""{ASSIGNED}, {NOTE_CONCEPTS}, own AS (SELECT DISTINCT query_id, resource_id FROM {fd}), wt AS (SELECT query_id, resource_id, t FROM own JOIN (SELECT id AS resource_id, unnest(topics) AS t FROM assigned) USING (resource_id)),
+        sh AS (SELECT DISTINCT query_id, resource_id FROM wt JOIN (SELECT query_id, t FROM wt GROUP BY 1, 2 HAVING count(*) > 1) USING (query_id, t)), ty AS (SELECT query_id, resource_id, r.source_type FROM own JOIN resources r ON r.id = own.resource_id),
+        wc AS (SELECT query_id, resource_id, slug FROM own JOIN (SELECT DISTINCT resource_id, slug FROM nc JOIN documents USING (doc_id) WHERE resource_id IS NOT NULL) USING (resource_id)),
+        sc AS (SELECT DISTINCT query_id, resource_id FROM wc JOIN (SELECT query_id, slug FROM wc GROUP BY 1, 2 HAVING count(*) > 1) USING (query_id, slug)),
+        ch AS (SELECT query_id, arg_min(source_type, (-n, source_type)) AS chief, max(n) AS n FROM (SELECT query_id, source_type, count(*) AS n FROM ty GROUP BY 1, 2) GROUP BY 1),
+        bo AS (SELECT ty.query_id, ty.resource_id, round(least(0.1e0, CASE WHEN sc.resource_id IS NOT NULL THEN 0.03e0 ELSE 0 END + CASE WHEN sh.resource_id IS NOT NULL THEN 0.04e0 ELSE 0 END + CASE WHEN ch.n > 1 AND ch.chief = ty.source_type THEN 0.02e0 ELSE 0 END), 6) AS boost
+          FROM ty LEFT JOIN sh USING (query_id, resource_id) LEFT JOIN sc USING (query_id, resource_id) LEFT JOIN ch USING (query_id)),
+        gl AS (SELECT {fd}.query_id, chunk_id, resource_id, coalesce(boost, 0) AS boost, round(score + coalesce(boost, 0), 6) AS score FROM {fd} LEFT JOIN bo USING (query_id, resource_id)), {ranked('gl', k, f'g{k}', 'resource_id, chunk_id')}"""
+
+
 PAIRS = lambda *ks: " UNION ALL ".join(f"SELECT '{k}' AS kind, {e} AS value FROM {t}" for k, e, t in ks)
 
 SQL: dict[str, str] = {
@@ -248,18 +276,19 @@ SQL: dict[str, str] = {
         p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v) / q.n / e.n, 6) AS score FROM e q, e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
         SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10""",
     "hybrid_topk": f"{FUSED}, {ranked('fd', 10, 'f10', 'resource_id, chunk_id')} SELECT query_id, rank::INT AS rank, chunk_id, score FROM f10",
-    "graph_lite_topk": f"""{FUSED}, {ASSIGNED}, own AS (SELECT DISTINCT query_id, resource_id FROM fd), wt AS (SELECT query_id, resource_id, t FROM own JOIN (SELECT id AS resource_id, unnest(topics) AS t FROM assigned) USING (resource_id)),
-        sh AS (SELECT DISTINCT query_id, resource_id FROM wt JOIN (SELECT query_id, t FROM wt GROUP BY 1, 2 HAVING count(*) > 1) USING (query_id, t)), ty AS (SELECT query_id, resource_id, r.source_type FROM own JOIN resources r ON r.id = own.resource_id),
-        ch AS (SELECT query_id, arg_min(source_type, (-n, source_type)) AS chief, max(n) AS n FROM (SELECT query_id, source_type, count(*) AS n FROM ty GROUP BY 1, 2) GROUP BY 1),
-        bo AS (SELECT ty.query_id, ty.resource_id, round(CASE WHEN sh.resource_id IS NOT NULL THEN 0.04e0 ELSE 0 END + CASE WHEN ch.n > 1 AND ch.chief = ty.source_type THEN 0.02e0 ELSE 0 END, 6) AS boost FROM ty LEFT JOIN sh USING (query_id, resource_id) LEFT JOIN ch USING (query_id)),
-        gl AS (SELECT fd.query_id, chunk_id, resource_id, coalesce(boost, 0) AS boost, round(score + coalesce(boost, 0), 6) AS score FROM fd LEFT JOIN bo USING (query_id, resource_id)), {ranked('gl', 10, 'g10', 'resource_id, chunk_id')}
-        SELECT query_id, rank::INT AS rank, chunk_id, boost, score FROM g10""",
+    "graph_lite_topk": f"{FUSED}, {boosted('fd', 10)} SELECT query_id, rank::INT AS rank, chunk_id, boost, score FROM g10",
+    "retrieve_by_mode": f"""{SEARCH}, {COSINE}, kept AS (SELECT chunk_id, resource_id, source_type FROM docs WHERE source_type IN ('webpage', 'markdown')), bk AS (SELECT bm.* FROM bm JOIN kept USING (chunk_id)), ck AS (SELECT cs.* FROM cs JOIN kept USING (chunk_id)),
+        {ranked('bk', 15, 'b15')}, {ranked('ck', 15, 'c15')}, bn AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS s FROM b15), cn AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS s FROM c15),
+        fd AS (SELECT query_id, chunk_id, round(coalesce(bn.s, 0) * 0.55e0 + coalesce(cn.s, 0) * 0.45e0, 6) AS score, resource_id, source_type FROM bn FULL JOIN cn USING (query_id, chunk_id) JOIN kept USING (chunk_id)), {ranked('bk', 5, 'b5')}, {ranked('ck', 5, 'c5')}, {ranked('fd', 5, 'f5', 'resource_id, chunk_id')}, {boosted('fd', 5)}
+        SELECT 'bm25' AS mode, query_id, rank::INT AS rank, chunk_id, score FROM b5 UNION ALL SELECT 'vector', query_id, rank::INT, chunk_id, score FROM c5 UNION ALL SELECT 'hybrid', query_id, rank::INT, chunk_id, score FROM f5 UNION ALL SELECT 'graph_lite', query_id, rank::INT, chunk_id, score FROM g5""",
     "retrieval_eval_metrics": f"{EVAL} SELECT * FROM met",
     "retrieval_eval_aggregate": f"{EVAL} SELECT k, count(*) AS cases, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr FROM met GROUP BY k",
     "context_pack_chunks": f"{PACK} SELECT query_id, rank::INT AS rank, citation_label, chunk_id, resource_id, text, truncated FROM pack",
     "context_pack_sources": f"{PACK} SELECT query_id, resource_id, arg_min(citation_label, rank) AS citation_label, string_agg(chunk_id, ' ' ORDER BY rank) AS chunk_ids FROM pack GROUP BY 1, 2",
     "extractive_answers": f"{ANSWERS} SELECT query_id, rank::INT AS rank, chunk_id, answer FROM ans",
-    "answer_grades": f"{ANSWERS} SELECT query_id, round(count(*) FILTER (answer <> '') / count(*), 6) AS chunk_coverage, true AS labels_valid, count(*) FILTER (answer <> '') > 0 AS answered FROM ans GROUP BY query_id",
+    "answer_grades": f"{GRADED} SELECT query_id, round(count(*) FILTER (answer <> '') / count(*), 6) AS chunk_coverage, coalesce(max(wrong), 0) = 0 AS labels_valid, count(*) FILTER (answer <> '') > 0 AS answered FROM ans LEFT JOIN bad USING (query_id) GROUP BY query_id",
+    "answer_checks": f"{NINE} SELECT query_id, unnest({_list(CHECKS)}) AS check, unnest(ok) AS passed, unnest(list_concat(list_transform(ok[1:7], lambda x: CASE WHEN x THEN 1e0 ELSE 0e0 END), [round(cc, 6), round(sc, 6)])) AS score FROM pa",
+    "retrieval_eval_terms": f"{SEARCH}, {ranked('bm', 10, 'b10')}, tx AS (SELECT query_id, rank, lower(coalesce(text, '')) AS t FROM b10 JOIN docs USING (chunk_id)), fr AS (SELECT qt.query_id, term, min(rank) AS first_rank FROM qt JOIN tx ON tx.query_id = qt.query_id AND contains(t, term) GROUP BY 1, 2) SELECT query_id, k, round(count(*) FILTER (first_rank <= k) / count(*), 6) AS coverage FROM (SELECT query_id, term, unnest([1, 3, 10]) AS k FROM qt) LEFT JOIN fr USING (query_id, term) GROUP BY 1, 2",
     "graph_nodes": f"{GRAPH} SELECT * FROM nodes",
     "graph_edges": f"{GRAPH} SELECT * FROM edges",
     "graph_stats": f"{GRAPH} SELECT type, count(*) AS n, 'node' AS part FROM (SELECT DISTINCT * FROM nodes) GROUP BY 1 UNION ALL SELECT type, count(*), 'edge' FROM edges GROUP BY 1",
@@ -276,8 +305,7 @@ SQL: dict[str, str] = {
     "citation_coverage": f"WITH {CITED} SELECT count(*) AS cited, count(*) FILTER (chunk_id IN (SELECT chunk_id FROM chunks)) AS found FROM cited",
     "weak_reasons": rf"""SELECT * FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN {words('text')} < 250 THEN 'note is short' END, CASE WHEN len(list_distinct(regexp_extract_all(text, '\[source: ?([^\]]+)\]', 1))) < 3 THEN 'sparse citations' END,
         CASE WHEN regexp_matches(lower(text), 'requires human review|placeholder content|mock-generated') THEN 'generic phrases' END], lambda x: x IS NOT NULL), ';') AS reasons FROM documents WHERE trim(text) <> '') WHERE reasons <> ''""",
-    "concept_index": rf"""SELECT slug, min(name) AS name, count(DISTINCT doc_id) AS notes FROM (SELECT doc_id, name, {slug('name')} AS slug, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, i, trim(string_split(regexp_replace(line, '^[ \t]*[-*] +', ''), ':')[1]) AS name
-        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(line, '^[ \t]*[-*] ')) WHERE length(name) BETWEEN 2 AND 60) WHERE n <= 20 AND slug <> '' GROUP BY slug""",
+    "concept_index": f"WITH {NOTE_CONCEPTS} SELECT slug, min(name) AS name, count(DISTINCT doc_id) AS notes FROM nc GROUP BY slug",
     "flashcards": f"""SELECT DISTINCT doc_id, q AS question, {trimmed("coalesce(a, '')", 300)} AS answer, CASE WHEN regexp_matches(lower(q), 'compare|why|how would|tradeoff') THEN 'hard' WHEN regexp_matches(lower(q), 'how|which') THEN 'medium' ELSE 'easy' END AS difficulty
         FROM (SELECT doc_id, unnest(ls) AS q, unnest(list_concat(ls[2:], [NULL])) AS a FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL)) WHERE suffix(q, '?')""",
     "rag_prompts": f"""{PACK}, bl AS (SELECT query_id, string_agg(citation_label || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM pack GROUP BY query_id)
