@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lorewell.operators import chunking, dense, graph, ledger, notes, registry, retrieval, search, topics
@@ -133,7 +134,7 @@ def test_context_pack_holds_whole_texts(spark):
     assert [(r.text, r.truncated) for r in whole.collect()] == [(long, False)]
     assert [(len(r.text) <= 600, r.truncated) for r in part.collect()] == [(True, True)]
     assert [r.answer for r in retrieval.extract_answers(whole, asked).collect()] == ["The cache is warm. [cite:1]"]
-    assert [r.answer for r in retrieval.extract_answers(part, asked).collect()] == [""]
+    assert [r.answer for r in retrieval.extract_answers(part, asked).collect()] == ["Nothing here. [cite:1] Nothing here. [cite:1] Nothing here. [cite:1]"]
 
 
 def test_pack_query_cuts_no_text(spark, sf):
@@ -149,3 +150,65 @@ def test_concepts_of_prose_and_repeated_bullets(spark):
     got = {r.slug: (r.name, r.notes) for r in notes.concepts(rows).collect()}
     assert {k: v for k, v in got.items() if not k.startswith("name-")} == {"alpha": ("Alpha", 1), "beta": ("Beta", 1), "embeddings": ("Embeddings", 1), "fine-tuning": ("Fine-tuning", 1)}
     assert sum(k.startswith("name-") for k in got) == 20
+
+
+def test_index_is_read_and_checked(spark, tmp_path):
+    docs = search.corpus(chunks(spark, [("c1", "vector index"), ("c2", "vector store store"), ("c3", "other words")]))
+    q = spark.createDataFrame([(1, "vector store")], "query_id bigint, query string")
+    search.Index.build(docs, str(tmp_path / "i"))
+    index = search.Index(spark, str(tmp_path / "i"))
+    assert [r.chunk_id for r in search.top(index.bm25(q), 5, "chunk_id").orderBy("rank").collect()] == ["c2", "c1"]
+    index.stats.withColumn("version", F.lit("other")).coalesce(1).write.parquet(str(tmp_path / "s"))
+    import shutil
+
+    shutil.rmtree(tmp_path / "i" / "stats")
+    shutil.move(tmp_path / "s", tmp_path / "i" / "stats")
+    with pytest.raises(ValueError):
+        search.Index(spark, str(tmp_path / "i"))
+    with pytest.raises(ValueError):
+        retrieval.retrieve(index, q, "dense")
+    empty = search.Index.build(docs.limit(0), str(tmp_path / "e"))
+    assert empty.bm25(q).count() == 0 and empty.cosine(q).count() == 0
+
+
+def test_filters_apply_after_scoring(spark, tmp_path):
+    rows = chunks(spark, [("c1", "vector index"), ("c2", "vector store"), ("c3", "other words")])
+    index = search.Index.build(search.corpus(rows.withColumn("source_type", F.when(F.col("chunk_id") == "c2", "webpage").otherwise("pdf"))), str(tmp_path / "f"))
+    q = spark.createDataFrame([(1, "vector")], "query_id bigint, query string")
+    every = {r.chunk_id: r.score for r in retrieval.retrieve(index, q, "bm25").collect()}
+    assert [(r.chunk_id, r.score) for r in retrieval.retrieve(index, q, "bm25", source_types=["webpage"]).collect()] == [("c2", every["c2"])]
+    assert [r.chunk_id for r in retrieval.retrieve(index, q, "hybrid", resource_ids=["r1"]).collect()] == ["c1"]
+
+
+def test_hashed_search_against_brute_force(spark):
+    import hashlib
+    import math
+
+    texts = {"c1": "alpha beta gamma", "c2": "alpha alpha delta", "c3": "epsilon"}
+    docs = search.corpus(chunks(spark, list(texts.items())))
+    place = lambda t: ((v := int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")) % 64, -1.0 if v >> 63 else 1.0)
+    weight = lambda t: math.log((3 - (n := sum(t in x.split() for x in texts.values())) + 0.5) / (n + 0.5) + 1)
+
+    def vector(counts):
+        v = {}
+        for t, n in counts.items():
+            d, s = place(t)
+            v[d] = v.get(d, 0.0) + n * weight(t) * s
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {d: x / norm for d, x in v.items()}
+
+    asked = vector({"alpha": 1, "delta": 1})
+    true = {c: round(sum(w * asked.get(d, 0.0) for d, w in vector({t: x.split().count(t) for t in x.split()}).items()), 6) for c, x in texts.items()}
+    q = spark.createDataFrame([(1, "Alpha delta, alpha")], "query_id bigint, query string")
+    assert {r.chunk_id: r.score for r in search.hashed_scores(docs, q, 64).collect()} == {c: s for c, s in true.items() if s > 0}
+
+
+def test_long_paths_and_bad_answers(spark):
+    e = spark.createDataFrame([("x", f"n{i:02d}", f"n{i + 1:02d}") for i in range(23)], "type string, source string, target string")
+    assert graph.shortest_path(e, "n00", "n23").count() == 24 and graph.shortest_path(e, "n00", "n23", most=20).count() == 0
+    pack = spark.createDataFrame([(1, 1, "[cite:1]", "c1", "r1", "t")], "query_id long, rank int, citation_label string, chunk_id string, resource_id string, text string")
+    said = spark.createDataFrame([(1, "See [cite:9].", ["[cite:9]"], ["c7"], ["r9"], False)], "query_id long, body string, labels array<string>, used_chunks array<string>, used_sources array<string>, is_mock boolean")
+    asked = spark.createDataFrame([(1, "q"), (2, "none")], "query_id long, query string")
+    got = {(r.query_id, r.check): (r.passed, r.score) for r in retrieval.answer_checks(said, pack, asked).collect()}
+    assert [got[1, c][0] for c in retrieval.CHECKS] == [True, False, False, True, False, False, True, False, False]
+    assert all(got[2, c] == (True, 1.0) for c in retrieval.CHECKS)
