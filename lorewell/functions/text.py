@@ -136,3 +136,13 @@ def provider_name(name: Column) -> Column:
     known = {"ollamacloud": "ollama_cloud", "ollamalocal": "ollama_local", "openai": "openai_compatible", "openaicompatible": "openai_compatible"}
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     return F.coalesce(table[n], n)
+
+
+def section(content: Column, heading: Column) -> Column:
+    """What is below the first heading of that name, up to the next one of its level or above; '' without one."""
+    lines = F.transform(F.split(content, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.length(F.regexp_extract(x, "^(#*)", 1)).alias("level"), F.lower(F.trim(F.regexp_replace(x, "^#+", ""))).alias("name"))), lambda h: h["level"] > 0)
+    first = F.get(F.filter(heads, lambda h: h["name"] == F.lower(F.trim(heading))), F.lit(0))
+    after = F.get(F.filter(heads, lambda h: (h["i"] > first["i"]) & (h["level"] <= first["level"])), F.lit(0))["i"]
+    body = F.slice(F.split(content, "\n"), first["i"] + 2, F.greatest(F.lit(0), F.coalesce(after, F.size(lines)) - first["i"] - 1))
+    return F.coalesce(F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", ""), F.lit(""))

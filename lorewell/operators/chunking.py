@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,54 +52,107 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def text_chunks(docs: DataFrame, limit: int = MAX_WORDS, target: int = TARGET_WORDS) -> DataFrame:
-    """(doc_id, section_no, group_no, paragraphs, words): paragraphs packed within their section."""
+    """(doc_id, section_no, group_no, paragraphs, words, heading, text): paragraphs packed within their section."""
     paragraphs = F.filter(F.transform(F.split("content", "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    rows = sections(docs).select("doc_id", "section_no", paragraphs.alias("p"))
+    rows = sections(docs).select("doc_id", "section_no", "heading", paragraphs.alias("p"))
     groups = rows.withColumn("g", _fold(F.col("p"), T.word_count, limit, target))
-    each = groups.select("doc_id", "section_no", F.explode(F.arrays_zip("p", "g")).alias("x"))
-    return each.groupBy("doc_id", "section_no", F.col("x.g").alias("group_no")).agg(F.count("*").alias("paragraphs"), F.sum(T.word_count(F.col("x.p"))).cast("bigint").alias("words"))
+    numbers = F.array_distinct("g")
+    own = lambda g: F.filter("p", lambda p, i: F.get(F.col("g"), i) == g)
+    each = groups.select("doc_id", "section_no", "heading", F.explode(F.transform(numbers, lambda g: F.struct(g.alias("group_no"), own(g).alias("p")))).alias("x"))
+    words = F.aggregate("x.p", F.lit(0).cast("bigint"), lambda n, p: n + T.word_count(p).cast("bigint"))
+    return each.select("doc_id", "section_no", "x.group_no", F.size("x.p").cast("bigint").alias("paragraphs"), words.alias("words"), "heading", F.array_join("x.p", "\n\n").alias("text"))
+
+
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def line_chunks(docs: DataFrame, target: int = 100) -> DataFrame:
-    """(doc_id, group_no, lines, words): lines packed until a group has `target` words."""
-    rows = docs.filter("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("p"))
-    each = rows.withColumn("g", _fold(F.col("p"), T.word_count, 1 << 60, target)).select("doc_id", F.explode(F.arrays_zip("p", "g")).alias("x"))
-    return each.groupBy("doc_id", F.col("x.g").alias("group_no")).agg(F.count("*").alias("lines"), F.sum(T.word_count(F.col("x.p"))).cast("bigint").alias("words"))
+    """(doc_id, group_no, lines, words, text): lines packed until a group has `target` words; documents are read one after another."""
+    src = docs.filter("text IS NOT NULL").select("doc_id", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, text in zip(*(c.to_pylist() for c in b.columns)):
+                lines, first, held, group = text.split("\n"), 0, 0, 0
+                for i, line in enumerate(lines):
+                    held += len(_WORD.findall(line))
+                    if held >= target or i == len(lines) - 1:
+                        out.append((doc, group, i + 1 - first, held, "\n".join(lines[first:i + 1])))
+                        first, held, group = i + 1, 0, group + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "group_no", "lines", "words", "text"])
 
-def page_packs(pages: DataFrame, limit: int = 4000, target: int = 2000) -> DataFrame:
-    """(resource_id, pack_no, page_start, page_end, chars) of pages (resource_id, page, text) in page order.
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, group_no int, lines bigint, words bigint, text string")
 
-    Blank pages are left out, a page above `limit` stands alone. The pages of one resource are folded together.
+
+def _streamed(rows: DataFrame, order: list[str], begin: Callable[[], dict], step: Callable[[dict, dict], int]) -> DataFrame:
+    """`rows` with the `group_no` that a fold over each resource gives; a resource's rows stream through one task in order.
+
+    Rows are few numbers each and only the fold's state is held, never a resource's rows; texts are joined to the groups
+    afterwards.
     """
-    own = pages.filter(~F.col("text").rlike(r"^\s*$")).groupBy("resource_id").agg(F.sort_array(F.collect_list(F.struct("page", F.length("text").alias("n")))).alias("p"))
-    zero = F.struct(F.array().cast("array<int>").alias("groups"), F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("group"), F.lit(False).alias("some"))
+    src = rows.repartition("resource_id").sortWithinPartitions("resource_id", *order)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
 
-    def step(acc: Column, x: Column) -> Column:
-        big = x["n"] > limit
-        new = acc["some"] & (big | (acc["held"] + x["n"] > limit) | (acc["held"] >= target))
-        group = F.when(new, acc["group"] + 1).otherwise(acc["group"])
-        return F.struct(F.concat(acc["groups"], F.array(group)).alias("groups"), F.when(big, F.lit(0).cast("bigint")).when(new, x["n"].cast("bigint")).otherwise(acc["held"] + x["n"]).alias("held"),
-                        F.when(big, group + 1).otherwise(group).alias("group"), (~big).alias("some"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, begin()
+        for b in batches:
+            groups = []
+            for r in b.to_pylist():
+                if r["resource_id"] != now:
+                    now, state = r["resource_id"], begin()
+                groups.append(step(state, r))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(groups, pa.int32())], [*b.schema.names, "group_no"])
 
-    folded = own.withColumn("g", F.aggregate("p", zero, step)["groups"]).select("resource_id", F.explode(F.arrays_zip("p", "g")).alias("x"))
-    return folded.groupBy("resource_id", F.col("x.g").alias("pack_no")).agg(F.min("x.p.page").alias("page_start"), F.max("x.p.page").alias("page_end"), F.sum("x.p.n").cast("bigint").alias("chars"))
+    return src.mapInArrow(run, f"{kinds}, group_no int")
 
 
-def segment_chunks(segments: DataFrame, words: int = 140, seconds: float = 90.0) -> DataFrame:
-    """(resource_id, chunk_no, start, end, segments) of segments (resource_id, start, end, text): a chunk ends with the
-    segment that brings it to `words` words or `seconds` seconds. Blank segments are left out."""
-    own = segments.filter(~F.col("text").rlike(r"^\s*$")).groupBy("resource_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", T.word_count(F.col("text")).alias("n")))).alias("p"))
-    zero = F.struct(F.array().cast("array<int>").alias("groups"), F.lit(0).cast("bigint").alias("held"), F.lit(None).cast("double").alias("since"), F.lit(0).alias("group"))
+def page_packs(pages: DataFrame, limit: int = 4000, target: int = 2000) -> DataFrame:
+    """(resource_id, pack_no, chunk_id, page_start, page_end, chars, label, text) of pages (resource_id, page, text) in page order.
+
+    Blank pages are left out, a page above `limit` stands alone. The id names the first page, the label the pages.
+    """
+    own = pages.filter("resource_id IS NOT NULL AND page IS NOT NULL").filter(~F.col("text").rlike(r"^\s*$"))
+
+    def step(s: dict, r: dict) -> int:
+        big = r["n"] > limit
+        if s["some"] and (big or s["held"] + r["n"] > limit or s["held"] >= target):
+            s["group"], s["held"] = s["group"] + 1, 0
+        group = s["group"]
+        s["held"] += r["n"]
+        s["some"] = not big
+        if big:
+            s["group"], s["held"] = group + 1, 0
+        return group
+
+    numbered = own.select("resource_id", "page", F.length("text").alias("n"), F.xxhash64("text").alias("mark"))
+    grouped = _streamed(numbered, ["page", "n", "mark"], lambda: {"held": 0, "group": 0, "some": False}, step)
+    texts = grouped.dropDuplicates(["resource_id", "page", "mark"]).join(own.select("resource_id", "page", F.xxhash64("text").alias("mark"), "text").dropDuplicates(["resource_id", "page", "mark"]), ["resource_id", "page", "mark"])
+    packs = texts.groupBy("resource_id", F.col("group_no").alias("pack_no")).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.sum("n").cast("bigint").alias("chars"), F.sort_array(F.collect_list(F.struct("page", "mark", "text"))).alias("t"))
+    pages_of = F.when(F.col("page_start") == F.col("page_end"), F.concat(F.lit("p. "), F.col("page_start"))).otherwise(F.concat(F.lit("pp. "), F.col("page_start"), F.lit("–"), F.col("page_end")))
+    return packs.select("resource_id", "pack_no", F.concat("resource_id", F.lit("-p"), F.lpad(F.col("page_start").cast("string"), 4, "0")).alias("chunk_id"), "page_start", "page_end", "chars", pages_of.alias("label"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
-    def step(acc: Column, x: Column) -> Column:
-        held, since = acc["held"] + x["n"], F.coalesce(acc["since"], x["start"])
-        full = (held >= words) | (x["end"] - since >= seconds)
-        return F.struct(F.concat(acc["groups"], F.array(acc["group"])).alias("groups"), F.when(full, F.lit(0).cast("bigint")).otherwise(held).alias("held"),
-                        F.when(full, F.lit(None).cast("double")).otherwise(since).alias("since"), F.when(full, acc["group"] + 1).otherwise(acc["group"]).alias("group"))
 
-    folded = own.withColumn("g", F.aggregate("p", zero, step)["groups"]).select("resource_id", F.explode(F.arrays_zip("p", "g")).alias("x"))
-    return folded.groupBy("resource_id", F.col("x.g").alias("chunk_no")).agg(F.min("x.p.start").alias("start"), F.max_by("x.p.end", "x.p.start").alias("end"), F.count("*").alias("segments"))
+def segment_chunks(segments: DataFrame, words: int = 140, seconds: float = 90.0) -> DataFrame:
+    """(resource_id, chunk_no, chunk_id, start, end, segments, label, text) of segments (resource_id, start, end, text): a chunk
+    ends with the segment that brings it to `words` words or `seconds` seconds. Blank segments are left out."""
+    own = segments.filter("resource_id IS NOT NULL").filter(~F.col("text").rlike(r"^\s*$"))
+
+    def step(s: dict, r: dict) -> int:
+        group = s["group"]
+        s["held"] += r["n"]
+        s["since"] = r["start"] if s["since"] is None else s["since"]
+        if s["held"] >= words or r["end"] - s["since"] >= seconds:
+            s["held"], s["since"], s["group"] = 0, None, group + 1
+        return group
+
+    numbered = own.select("resource_id", "start", "end", T.word_count(F.col("text")).alias("n"), F.xxhash64("text").alias("mark"))
+    grouped = _streamed(numbered, ["start", "end", "n", "mark"], lambda: {"held": 0, "since": None, "group": 0}, step)
+    counted = grouped.groupBy("resource_id", "group_no", "start", "end", "mark").agg(F.count("*").alias("copies"))
+    texts = counted.join(own.select("resource_id", "start", "end", F.xxhash64("text").alias("mark"), "text").distinct(), ["resource_id", "start", "end", "mark"])
+    packs = texts.groupBy("resource_id", F.col("group_no").alias("chunk_no")).agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), F.sum("copies").alias("segments"), F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("t"))
+    return packs.select("resource_id", "chunk_no", F.concat("resource_id", F.lit("-c"), F.lpad(F.col("chunk_no").cast("string"), 4, "0")).alias("chunk_id"), "start", "end", "segments",
+                        T.format_seconds(F.col("start")).alias("label"), F.array_join(F.transform("t", lambda x: F.trim(x["text"])), " ").alias("text"))
 
 
 def projection(chunks: DataFrame) -> DataFrame:

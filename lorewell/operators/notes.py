@@ -30,10 +30,28 @@ def citation_coverage(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     return citations(notes).join(known, "chunk_id", "left").agg(F.count("*").alias("cited"), F.count("known").alias("found"))
 
 
+def linked_citations(notes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, text): citations outside fenced code as links to their chunk's anchor, those of unknown chunks as a remark.
+
+    Notes without a citation are left out; null texts have none.
+    """
+    cited = citations(notes).join(chunks.select("chunk_id").distinct().withColumn("known", F.lit(True)), "chunk_id", "left")
+    link = F.when(F.col("known"), F.concat(F.lit("["), T.short_label(F.col("chunk_id")), F.lit("](#"), T.anchor_slug(F.col("chunk_id")), F.lit(")<!-- "), F.col("chunk_id"), F.lit(" -->"))).otherwise(F.concat(F.lit("[missing source chunk: "), F.col("chunk_id"), F.lit("]")))
+    links = cited.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_id", link.alias("link"))).alias("links"))
+
+    def put(text, x):
+        both = F.replace(text, F.concat(F.lit("[source: "), x["chunk_id"], F.lit("]")), x["link"])
+        return F.replace(both, F.concat(F.lit("[source:"), x["chunk_id"], F.lit("]")), x["link"])
+
+    # every second part between fences is code
+    parts = F.transform(F.split("text", "```"), lambda p, i: F.when(i % 2 == 0, F.aggregate("links", p, put)).otherwise(p))
+    return notes.select("doc_id", "text").join(links, "doc_id").select("doc_id", F.array_join(parts, "```").alias("text"))
+
+
 def weak_reasons(notes: DataFrame) -> DataFrame:
     """(doc_id, reasons): why a note is weak; notes without a reason are left out."""
     cited = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(CITATION), 1)))
-    why = F.array_compact(F.array(F.when(T.word_count(F.col("text")) < 250, "note is short"), F.when(cited < 3, "sparse citations"), F.when(F.lower("text").rlike("requires human review|placeholder content|mock-generated"), "generic phrases")))
+    why = F.array_compact(F.array(F.when(T.word_count(F.col("text")) < 250, "note is short"), F.when(cited < 3, "sparse citations"), F.when(F.lower("text").rlike("mock-generated|placeholder content|learned about this topic"), "generic phrases")))
     return notes.filter("trim(text) <> ''").select("doc_id", F.array_join(why, ";").alias("reasons")).filter("reasons <> ''")
 
 

@@ -22,6 +22,17 @@ TOPICS: dict[str, list[str]] = {
 }
 
 
+# Other names of topics.
+ALIASES = {"rag": "rag-retrieval", "retrieval": "rag-retrieval", "security": "ai-security", "ai-safety": "ai-security", "optimization-training": "optimizer-training", "training": "optimizer-training"}
+
+
+def normalized_topics(names: Column) -> Column:
+    """Names of topics in their first order, aliases under their own name, each once; what is no topic is left out."""
+    table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    own = F.transform(names, lambda x: F.coalesce(F.element_at(table, x), x))
+    return F.array_distinct(F.filter(own, lambda x: x.isin(list(TOPICS))))
+
+
 def matching_topics(text: Column) -> Column:
     """The topics of a lower-case text, in the order of their definition."""
     each = []
@@ -34,8 +45,8 @@ def matching_topics(text: Column) -> Column:
 
 
 def resource_topics(resources: DataFrame) -> DataFrame:
-    """(id, topics) from title, tags, description, notes and author."""
-    text = F.lower(F.concat_ws(" ", T.display_title(F.col("title"), F.coalesce("canonical_id", "id")), F.array_join("tags", " "), F.coalesce("description", F.lit("")), F.coalesce("notes_from_user", F.lit("")), F.coalesce("author", F.lit(""))))
+    """(id, topics) from title, tags, description, notes, author, and subtitle and site name of `extra`."""
+    text = F.lower(F.concat_ws(" ", T.display_title(F.col("title"), F.coalesce("canonical_id", "id")), F.array_join("tags", " "), F.coalesce("description", F.lit("")), F.coalesce("notes_from_user", F.lit("")), F.coalesce("author", F.lit("")), *(F.coalesce(F.get_json_object("extra", f"$.{k}"), F.lit("")) for k in ("subtitle", "site_name") if "extra" in resources.columns)))
     return resources.select("id", matching_topics(text).alias("topics"))
 
 

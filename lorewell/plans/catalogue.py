@@ -190,7 +190,13 @@ def text_chunks(s, d):
 
 @query
 def greedy_line_chunks(s, d):
-    return chunking.line_chunks(table(s, d, "documents"))
+    return chunking.line_chunks(table(s, d, "documents")).drop("text")
+
+
+@query
+def greedy_line_texts(s, d):
+    """The texts of the same groups, by their digest."""
+    return chunking.line_chunks(table(s, d, "documents")).select("doc_id", "group_no", F.sha2("text", 256).alias("digest"))
 
 
 @query
@@ -279,7 +285,7 @@ def citation_counts(s, d):
 
 @query
 def paywalled(s, d):
-    c = table(s, d, "chunks").filter("source_type = 'medium_markdown'").groupBy("resource_id").agg(F.sum(T.word_count(F.col("text"))).cast("bigint").alias("words"), F.max(F.lower("text").rlike("member-only|sign in to read|become a member").cast("int")).alias("marked"))
+    c = table(s, d, "chunks").filter("source_type = 'medium_markdown'").groupBy("resource_id").agg(F.sum(T.word_count(F.col("text"))).cast("bigint").alias("words"), F.max(F.lower("text").rlike("sign in|member-only|get unlimited access|open in app").cast("int")).alias("marked"))
     return c.filter("words < 200 OR marked = 1").select("resource_id", "words")
 
 
@@ -304,6 +310,12 @@ def topic_assignment(s, d):
     return _topics(s, d).select("id", F.array_join("topics", ",").alias("topics"))
 
 
+@query
+def topics_from_tags(s, d):
+    """The topics that the tags of resources name."""
+    return table(s, d, "resources").select("id", F.array_join(topics.normalized_topics(F.transform("tags", lambda x: T.slug(x))), ",").alias("topics")).filter("topics <> ''")
+
+
 @query
 def topic_resources(s, d):
     return topics.topic_resources(_topics(s, d))
@@ -454,6 +466,17 @@ def hashed_topk(s, d):
     return search.top(search.hashed_scores(docs, _queries(s, d)), 10, "chunk_id").select("query_id", "rank", "chunk_id", "score")
 
 
+@query
+def index_issues(s, d):
+    index = _index(s, d)
+    return checks.index_issues(index.postings, index.chunks)
+
+
+@query
+def vector_issues(s, d):
+    return checks.vector_issues(search.hashed_vectors(cut(_docs(s, d))), 1024)
+
+
 @query
 def dense_cosine_topk(s, d):
     return dense.top_cosine(table(s, d, "embeddings"))
@@ -545,6 +568,17 @@ def citation_coverage(s, d):
     return notes.citation_coverage(table(s, d, "documents"), table(s, d, "chunks"))
 
 
+@query
+def linked_citations(s, d):
+    return notes.linked_citations(table(s, d, "documents"), table(s, d, "chunks"))
+
+
+@query
+def note_sections(s, d):
+    """What each document says under the heading of its own title."""
+    return table(s, d, "documents").filter("text IS NOT NULL AND title IS NOT NULL").select("doc_id", T.section(F.col("text"), F.col("title")).alias("section")).filter("section <> ''")
+
+
 @query
 def weak_reasons(s, d):
     return notes.weak_reasons(table(s, d, "documents"))

@@ -7,7 +7,7 @@ from lorewell.functions.urls import TRACKING
 from lorewell.operators.graph import BEGINNER, DEEP
 from lorewell.operators.notes import KEYWORDS, SYSTEM
 from lorewell.operators.retrieval import BANNER, CHECKS, NO_CONTEXT
-from lorewell.operators.topics import TOPICS
+from lorewell.operators.topics import ALIASES, TOPICS
 
 
 def _list(values) -> str:
@@ -91,7 +91,7 @@ def trimmed(c: str, cap: int) -> str:
     return rf"CASE WHEN length({c}) <= {cap} THEN {c} ELSE regexp_replace(CASE WHEN instr({head}, ' ') > 0 AND {back} > 0 THEN substring({head}, 1, {back}) ELSE {head} END, '\s+$', '') || '...' END"
 
 
-TOPIC_TEXT = f"lower(concat_ws(' ', {shown()}, array_to_string(tags, ' '), coalesce(description, ''), coalesce(notes_from_user, ''), coalesce(author, '')))"
+TOPIC_TEXT = f"lower(concat_ws(' ', {shown()}, array_to_string(tags, ' '), coalesce(description, ''), coalesce(notes_from_user, ''), coalesce(author, ''), coalesce(json_extract_string(CASE WHEN json_valid(extra) THEN extra END, '$.subtitle'), ''), coalesce(json_extract_string(CASE WHEN json_valid(extra) THEN extra END, '$.site_name'), '')))"
 TOPIC_LIST = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(keyword('t', k) for k in ks)} THEN '{t}' END" for t, ks in TOPICS.items()) + "], lambda x: x IS NOT NULL)"
 ASSIGNED = f"assigned AS (SELECT id, {TOPIC_LIST} AS topics FROM (SELECT id, {TOPIC_TEXT} AS t FROM resources))"
 LEARNED = "coalesce(user_consumed_at, processed_at, first_seen_at)"
@@ -230,6 +230,9 @@ SQL: dict[str, str] = {
     "greedy_line_chunks": f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL), w AS MATERIALIZED (SELECT doc_id, i, {words('line')} AS n FROM l),
         f AS (SELECT doc_id, i, n, n AS held, 0 AS g FROM w WHERE i = 1 UNION ALL SELECT w.doc_id, w.i, w.n, CASE WHEN f.held >= 100 THEN w.n ELSE f.held + w.n END, CASE WHEN f.held >= 100 THEN f.g + 1 ELSE f.g END FROM f JOIN w ON w.doc_id = f.doc_id AND w.i = f.i + 1)
         SELECT doc_id, g AS group_no, count(*) AS lines, sum(n)::BIGINT AS words FROM f GROUP BY doc_id, g""",
+    "greedy_line_texts": f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL), w AS MATERIALIZED (SELECT doc_id, i, line, {words('line')} AS n FROM l),
+        f AS (SELECT doc_id, i, line, n, n AS held, 0 AS g FROM w WHERE i = 1 UNION ALL SELECT w.doc_id, w.i, w.line, w.n, CASE WHEN f.held >= 100 THEN w.n ELSE f.held + w.n END, CASE WHEN f.held >= 100 THEN f.g + 1 ELSE f.g END FROM f JOIN w ON w.doc_id = f.doc_id AND w.i = f.i + 1)
+        SELECT doc_id, g AS group_no, sha256(string_agg(line, chr(10) ORDER BY i)) AS digest FROM f GROUP BY doc_id, g""",
     "transcript_vtt": f"SELECT chunk_id, {clock('start_time')} || ' --> ' || {clock('greatest(coalesce(end_time, start_time), start_time)')} AS cue FROM (SELECT DISTINCT chunk_id, start_time, end_time FROM chunks WHERE start_time IS NOT NULL)",
     "tokenize_vocab": f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY term",
     "document_estimates": rf"""SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE greatest(len(regexp_extract_all(s, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]')), ceil(length(s) / 4.0), 1)::BIGINT END AS tokens, {words('text')} AS words, {even("length(coalesce(text, '')) / 4.0")}::BIGINT AS quarter FROM (SELECT doc_id, text, {strip('text')} AS s FROM documents)""",
@@ -244,7 +247,7 @@ SQL: dict[str, str] = {
     "question_difficulty": r"SELECT doc_id, CASE WHEN regexp_matches(lower(q), 'compare|why|how would|tradeoff') THEN 'hard' WHEN regexp_matches(lower(q), 'how|which') THEN 'medium' ELSE 'easy' END AS difficulty, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+\?')) AS q FROM documents) GROUP BY 1, 2",
     "bullet_counts": r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*]')))::BIGINT AS bullets FROM documents WHERE text IS NOT NULL",
     "citation_counts": r"SELECT * FROM (SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\[source: ?([^\]]+)\]', 1)))::BIGINT AS citations FROM documents WHERE text IS NOT NULL) WHERE citations > 0",
-    "paywalled": f"SELECT resource_id, words FROM (SELECT resource_id, sum({words('text')})::BIGINT AS words, max(regexp_matches(lower(text), 'member-only|sign in to read|become a member')::INT) AS marked FROM chunks WHERE source_type = 'medium_markdown' GROUP BY 1) WHERE words < 200 OR marked = 1",
+    "paywalled": f"SELECT resource_id, words FROM (SELECT resource_id, sum({words('text')})::BIGINT AS words, max(regexp_matches(lower(text), 'sign in|member-only|get unlimited access|open in app')::INT) AS marked FROM chunks WHERE source_type = 'medium_markdown' GROUP BY 1) WHERE words < 200 OR marked = 1",
     "topic_assignment": f"WITH {ASSIGNED} SELECT id, array_to_string(topics, ',') AS topics FROM assigned",
     "topic_resources": f"WITH {ASSIGNED} SELECT topic, count(*) AS n FROM (SELECT unnest(topics) AS topic FROM assigned) GROUP BY 1",
     "learn_chapters": f"WITH {ASSIGNED} " + "SELECT topic, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS topic FROM (SELECT topics, lower({shown()}) AS l FROM resources JOIN assigned USING (id)) WHERE list_contains(topics, '{t}') OR {' OR '.join(f'contains(l, {chr(39)}{k}{chr(39)})' for k in ks)}" for t, ks in TOPICS.items()) + ") GROUP BY 1",
@@ -303,8 +306,18 @@ SQL: dict[str, str] = {
     "graph_neighbourhood": f"{GRAPH} SELECT DISTINCT unnest([source, target]) AS node_id FROM edges WHERE source = 'topic:agents' OR target = 'topic:agents'",
     "missing_citations": f"WITH {CITED} SELECT doc_id, chunk_id FROM cited c WHERE NOT EXISTS (SELECT 1 FROM chunks k WHERE k.chunk_id = c.chunk_id)",
     "citation_coverage": f"WITH {CITED} SELECT count(*) AS cited, count(*) FILTER (chunk_id IN (SELECT chunk_id FROM chunks)) AS found FROM cited",
+    "linked_citations": rf"""WITH {CITED}, k AS (SELECT DISTINCT chunk_id FROM chunks), li AS (SELECT doc_id, cited.chunk_id AS c, CASE WHEN k.chunk_id IS NULL THEN '[missing source chunk: ' || cited.chunk_id || ']' ELSE '[' || coalesce(nullif(regexp_extract(cited.chunk_id, '-([a-z]\d{{3,}})$', 1), ''), cited.chunk_id) || '](#' ||
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(cited.chunk_id)), '[:/]+', '-', 'g'), '[^a-z0-9\-]', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') || ')<!-- ' || cited.chunk_id || ' -->' END AS link FROM cited LEFT JOIN k ON k.chunk_id = cited.chunk_id),
+        ll AS (SELECT doc_id, list({{'c': c, 'link': link}}) AS links FROM li GROUP BY 1), pp AS (SELECT doc_id, links, unnest(string_split(text, '```')) AS p, generate_subscripts(string_split(text, '```'), 1) AS i FROM documents JOIN ll USING (doc_id))
+        SELECT doc_id, string_agg(CASE WHEN i % 2 = 1 THEN list_reduce(list_concat([p], list_transform(links, lambda x: x.c || chr(1) || x.link)), lambda t, x: replace(replace(t, '[source: ' || split_part(x, chr(1), 1) || ']', split_part(x, chr(1), 2)), '[source:' || split_part(x, chr(1), 1) || ']', split_part(x, chr(1), 2))) ELSE p END, '```' ORDER BY i) AS text FROM pp GROUP BY doc_id""",
+    "note_sections": rf"""WITH l AS (SELECT doc_id, title, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL AND title IS NOT NULL),
+        h AS (SELECT *, length(regexp_extract({strip('line')}, '^(#*)', 1)) AS level, lower(trim(regexp_replace({strip('line')}, '^#+', ''))) AS name FROM l), a AS (SELECT doc_id, min(i) AS i, arg_min(level, i) AS level FROM h WHERE level > 0 AND name = lower(trim(title)) GROUP BY 1),
+        z AS (SELECT a.doc_id, a.i, min(h.i) AS e FROM a LEFT JOIN h ON h.doc_id = a.doc_id AND h.level > 0 AND h.i > a.i AND h.level <= a.level GROUP BY 1, 2)
+        SELECT * FROM (SELECT z.doc_id, {strip("string_agg(line, chr(10) ORDER BY l.i)")} AS section FROM z JOIN l ON l.doc_id = z.doc_id AND l.i > z.i AND (z.e IS NULL OR l.i < z.e) GROUP BY 1) WHERE section <> ''""",
+    "topics_from_tags": f"SELECT * FROM (SELECT id, array_to_string(list_filter(list_transform(list_distinct_ordered, lambda x: x), lambda x: list_contains({_list(TOPICS)}, x)), ',') AS topics FROM (SELECT id, list_filter(own, lambda x, i: list_position(own, x) = i) AS list_distinct_ordered FROM (SELECT id, list_transform(list_transform(tags, lambda t: {slug('t')}), lambda x: CASE x {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in ALIASES.items())} ELSE x END) AS own FROM resources))) WHERE topics <> ''",
+    "index_issues": f"{BASE} SELECT * FROM (SELECT 'error' AS severity, 'posting_without_chunk' AS code, count(*) AS n FROM postings p WHERE NOT EXISTS (SELECT 1 FROM docs WHERE docs.chunk_id = p.chunk_id) UNION ALL SELECT 'error', 'negative_count', count(*) FROM postings WHERE tf < 0) WHERE n > 0",
     "weak_reasons": rf"""SELECT * FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN {words('text')} < 250 THEN 'note is short' END, CASE WHEN len(list_distinct(regexp_extract_all(text, '\[source: ?([^\]]+)\]', 1))) < 3 THEN 'sparse citations' END,
-        CASE WHEN regexp_matches(lower(text), 'requires human review|placeholder content|mock-generated') THEN 'generic phrases' END], lambda x: x IS NOT NULL), ';') AS reasons FROM documents WHERE trim(text) <> '') WHERE reasons <> ''""",
+        CASE WHEN regexp_matches(lower(text), 'mock-generated|placeholder content|learned about this topic') THEN 'generic phrases' END], lambda x: x IS NOT NULL), ';') AS reasons FROM documents WHERE trim(text) <> '') WHERE reasons <> ''""",
     "concept_index": f"WITH {NOTE_CONCEPTS} SELECT slug, min(name) AS name, count(DISTINCT doc_id) AS notes FROM nc GROUP BY slug",
     "flashcards": f"""SELECT DISTINCT doc_id, q AS question, {trimmed("coalesce(a, '')", 300)} AS answer, CASE WHEN regexp_matches(lower(q), 'compare|why|how would|tradeoff') THEN 'hard' WHEN regexp_matches(lower(q), 'how|which') THEN 'medium' ELSE 'easy' END AS difficulty
         FROM (SELECT doc_id, unnest(ls) AS q, unnest(list_concat(ls[2:], [NULL])) AS a FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL)) WHERE suffix(q, '?')""",

@@ -67,3 +67,10 @@ def test_video_and_time(spark):
     assert one(spark, "https://t.example/watch?v=abcdefghijk&t=670s", U.url_seconds) == 670
     assert one(spark, "https://t.example/embed/abcdefghijk?start=40", U.url_seconds) == 40
     assert one(spark, "https://t.example/watch?v=abcdefghijk&t=1h2m", U.url_seconds) is None
+
+
+def test_sections(spark):
+    text = "# Top\nintro\n## Summary\n\nIt works.\n### Detail\nmore\n## Next\nother\n# Summary\nlate"
+    rows = spark.createDataFrame([(text, "summary"), (text, "Top"), (text, "none"), ("", "x"), (None, "x")], "t string, h string")
+    got = [r.s for r in rows.select(T.section(F.col("t"), F.col("h")).alias("s")).collect()]
+    assert got[0] == "It works.\n### Detail\nmore" and got[1].startswith("intro\n## Summary") and got[1].endswith("other") and got[2:] == ["", "", ""]

@@ -212,3 +212,21 @@ def test_long_paths_and_bad_answers(spark):
     got = {(r.query_id, r.check): (r.passed, r.score) for r in retrieval.answer_checks(said, pack, asked).collect()}
     assert [got[1, c][0] for c in retrieval.CHECKS] == [True, False, False, True, False, False, True, False, False]
     assert all(got[2, c] == (True, 1.0) for c in retrieval.CHECKS)
+
+
+def test_links_outside_code(spark):
+    said = "See [source: a:x-c0001] and [source:b:y-c0002].\n```\n[source: a:x-c0001]\n```\nAgain [source: a:x-c0001]."
+    rows = spark.createDataFrame([(1, said), (2, "none"), (3, None)], "doc_id long, text string")
+    known = spark.createDataFrame([("a:x-c0001",), ("a:x-c0001",)], "chunk_id string")
+    link = "[c0001](#a-x-c0001)<!-- a:x-c0001 -->"
+    assert [r.text for r in notes.linked_citations(rows, known).collect()] == [f"See {link} and [missing source chunk: b:y-c0002].\n```\n[source: a:x-c0001]\n```\nAgain {link}."]
+
+
+def test_chunks_have_ids_and_texts(spark):
+    p = spark.createDataFrame([("r", 1, "a" * 1500), ("r", 2, "b" * 1000), ("r", 3, "c"), ("r", 3, "c"), ("r", 4, "d" * 5000), ("r", 5, " ")], "resource_id string, page int, text string")
+    got = [(r.chunk_id, r.label, r.text) for r in chunking.page_packs(p).orderBy("pack_no").collect()]
+    assert got[0] == ("r-p0001", "pp. 1–2", "a" * 1500 + "\n\n" + "b" * 1000) and got[-1] == ("r-p0004", "p. 4", "d" * 5000) and len(got) == 3
+    s = spark.createDataFrame([("r", 0.0, 40.0, " one two"), ("r", 40.0, 95.0, "three"), ("r", 95.0, 96.0, "four")], "resource_id string, start double, end double, text string")
+    assert [(r.chunk_id, r.label, r.text) for r in chunking.segment_chunks(s).orderBy("chunk_no").collect()] == [("r-c0000", "00:00", "one two three"), ("r-c0001", "01:35", "four")]
+    d = spark.createDataFrame([(1, "# Head\nalpha beta\n\ngamma"), (2, ""), (3, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.heading, r.text, r.words) for r in chunking.text_chunks(d).filter("words > 0").collect()] == [(1, "Head", "alpha beta\n\ngamma", 3)]
