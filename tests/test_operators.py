@@ -230,3 +230,49 @@ def test_chunks_have_ids_and_texts(spark):
     assert [(r.chunk_id, r.label, r.text) for r in chunking.segment_chunks(s).orderBy("chunk_no").collect()] == [("r-c0000", "00:00", "one two three"), ("r-c0001", "01:35", "four")]
     d = spark.createDataFrame([(1, "# Head\nalpha beta\n\ngamma"), (2, ""), (3, None)], "doc_id long, text string")
     assert [(r.doc_id, r.heading, r.text, r.words) for r in chunking.text_chunks(d).filter("words > 0").collect()] == [(1, "Head", "alpha beta\n\ngamma", 3)]
+
+
+def on_disk(spark):
+    """Bytes of shuffle files and of the shared folder."""
+    import os
+
+    from lorewell import session
+
+    dirs = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()] + [session.shared_folder(spark)]
+    return sum(os.path.getsize(os.path.join(d, f)) for root in dirs for d, _, files in os.walk(root) for f in files)
+
+
+def test_search_writes_less_than_its_input(spark, tmp_path):
+    import os
+    import random
+
+    r = random.Random(2)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("lan", "ter", "mis", "qua", "vor", "dex", "pol", "sun", "rig", "hem")]
+    texts = {f"webpage:{r.getrandbits(64):016x}-c{i:04d}": " ".join(r.choices(words, k=150)) for i in range(6000)}
+    chunks(spark, list(texts.items())).write.parquet(str(tmp_path / "chunks"))
+    docs, size = search.corpus(spark.read.parquet(str(tmp_path / "chunks"))), sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(tmp_path / "chunks") for f in files)
+    q = spark.createDataFrame([(i, " ".join(r.sample(words, 6))) for i in range(120)], "query_id bigint, query string")
+    before = on_disk(spark)
+    index = search.Index.build(docs, str(tmp_path / "i"))
+    size_of_index = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(tmp_path / "i") for f in files)
+    found = retrieval.retrieve(index, q, "hybrid", 5).collect()
+    assert len(found) == 600 and on_disk(spark) - before + size_of_index < 1.5 * size
+
+
+def test_shards_and_blocks_of_queries_change_nothing(spark, tmp_path, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    rows = chunks(spark, [(f"c{i:03d}", " ".join(r.choices(["vector", "index", "store", "graph", "topic", "chunk", "label"], k=r.randrange(9)))) for i in range(300)])
+    q = spark.createDataFrame([(i, " ".join(r.sample(["vector", "index", "store", "graph", "nowhere"], 2))) for i in range(9)], "query_id bigint, query string")
+    whole = search.Index.build(search.corpus(rows), str(tmp_path / "a"))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    parts = search.Index.build(search.corpus(rows.repartition(7)), str(tmp_path / "b"))
+    shown = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "score").collect()))
+    for kind in ("bm25", "cosine", "hashed"):
+        every = shown(whole.ranked(q, [kind]))
+        assert every == shown(parts.ranked(q, [kind])) and every
+        first = sorted((n, c, s) for n in range(9) for s, c in sorted((-s, c) for m, c, s in every if m == n)[:5] for s in [-s])
+        assert first == shown(search.top(parts.ranked(q, [kind], 5), 5, "chunk_id"))
+    assert sorted(map(tuple, whole.postings.collect())) == sorted(map(tuple, search.postings(search.corpus(rows)).select("term", "chunk_id", "tf").collect()))
+    assert sorted(map(tuple, whole.vocabulary.select("term", "df", "total_tf").collect())) == sorted(map(tuple, search.vocabulary(search.postings(search.corpus(rows))).collect()))
